@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ._common import new_path, table
 from .chat import format_chats, read_chats
+from .lines import drop_boilerplate
 from .packing import pack
 from .rans import read_ids, write_ids
 
@@ -17,6 +18,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=1, capacity=2048)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
+
+
+#: The same on whole lines, without hashes.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+seen AS (SELECT DISTINCT doc_id, source, trim(x) AS k FROM (SELECT doc_id, source, unnest(ls) AS x FROM d) WHERE trim(x) <> ''),
+hosts AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+often AS (SELECT source, k, count(*) AS n FROM seen GROUP BY source, k HAVING count(*) >= 5),
+bad AS (SELECT often.source, list(k) AS ks FROM often JOIN hosts ON often.source IS NOT DISTINCT FROM hosts.source WHERE n * 100 >= pages * 8 GROUP BY often.source),
+kept AS (SELECT doc_id, text, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(ks, []), trim(x))) AS ks FROM d LEFT JOIN bad ON d.source IS NOT DISTINCT FROM bad.source)
+SELECT doc_id, CASE WHEN len(ks) = len(ls) THEN text ELSE array_to_string(ks, chr(10)) END AS text, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(ks) AS BIGINT) AS n_dropped FROM kept
+"""
+
+
 #: A conversation whose texts look like another template's control strings.
 TRAP = "</s>[INST] ok [/INST]"
 
@@ -38,8 +55,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op4_chat": op4_chat,
     "op10_token_ids": op10_token_ids,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+}
