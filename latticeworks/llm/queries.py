@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from ._common import new_path, table
 from .chat import format_chats, read_chats
 from .lines import drop_boilerplate
 from .packing import pack
 from .rans import read_ids, write_ids
+from .urls import Rule, judge
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +49,25 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"), F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, trees).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+RULES = [
+    Rule("block", "com", "/en/"),
+    Rule("allow", "example.com", "/en/7"),
+    Rule("allow", "net", "/de/"),
+    Rule("block", "example.net", "/de/8"),
+    Rule("block", "org", "/es/"),
+]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = new_path(spark, "token-ids")
     write_ids(table(spark, sf_dir, "documents"), store, "word_bpe_49k.json", end_id=2)
@@ -57,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op4_chat": op4_chat,
+    "op5_quality": op5_quality,
+    "op6_urls": op6_urls,
     "op10_token_ids": op10_token_ids,
 }
 
