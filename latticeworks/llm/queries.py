@@ -11,6 +11,7 @@ from . import quality
 from ._common import new_path, table
 from .chat import format_chats, read_chats
 from .lines import drop_boilerplate
+from .near import near_duplicates
 from .packing import pack
 from .rans import read_ids, write_ids
 from .urls import Rule, judge
@@ -68,6 +69,10 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = new_path(spark, "token-ids")
     write_ids(table(spark, sf_dir, "documents"), store, "word_bpe_49k.json", end_id=2)
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_quality": op5_quality,
     "op6_urls": op6_urls,
+    "op7_near_duplicates": op7_near_duplicates,
     "op10_token_ids": op10_token_ids,
 }
 
