@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import quality
 from ._common import new_path, table
 from .chat import format_chats, read_chats
+from .decontaminate import leaks
 from .lines import drop_boilerplate
 from .near import near_duplicates
 from .packing import pack
@@ -73,6 +74,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = new_path(spark, "token-ids")
     write_ids(table(spark, sf_dir, "documents"), store, "word_bpe_49k.json", end_id=2)
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_urls": op6_urls,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_leaks": op8_leaks,
     "op10_token_ids": op10_token_ids,
 }
 
