@@ -17,10 +17,11 @@ import numpy as np
 
 #: Runs longer than this are not cached, and at this many runs the older half goes (about 200 bytes a run), for a fixed bound on memory.
 LONGEST_RUN, MOST_RUNS = 40, 1_000_000
-#: White space beside white space.
-_ODD = re.compile(r"\s\s")
-#: What Python takes for white space, and other libraries may not.
-_RARE = re.compile("[\x1c-\x1f\x85]")
+#: White space beside white space, or other than spaces and line feeds.
+_ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f")
+#: What some libraries take for white space, and others may not.
+_RARE = "\x1c\x1d\x1e\x1f\x85"
+_WIDE = re.compile("[\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Encoder:
@@ -37,17 +38,40 @@ class Encoder:
         #: Lower-cases, and drops white space.
         self.plain = self._encode(["A  \n B"]) == self._encode(["a b"])
         self.ends = dict(zip(".,", self._encode([".", ","])))
+        #: Whether an id is the last of a word, or else the first after a space.
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for x, i in vocabulary.items() if (x.endswith("</w>") if self.plain else x.startswith("\u0120"))]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], together: int = 64) -> list[bytes]:
+        """Words of letters alone, encoded together and cut where their ids begin or end."""
+        if len(words) < 8:
+            return self._encode([x if self.plain else " " + x for x in words])
+        out = []
+        groups = [words[k : k + together] for k in range(0, len(words), together)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids)
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(group):  # what the tokenizer takes for more words than one
+                out += self._encode([x if self.plain else " " + x for x in group])
+                continue
+            cuts = (at + 1 if self.plain else np.append(at[1:], len(ids))) * (2 if self.code == "H" else 4)
+            data, last = ids.astype("<u2" if self.code == "H" else "<u4").tobytes(), 0
+            for to in cuts.tolist():
+                out.append(data[last:to])
+                last = to
+        return out
+
     def ids(self, text: str) -> bytes:
-        if _RARE.search(text):
+        if any(c in text for c in _RARE):
             return self._encode([text])[0]
         if self.plain:
             parts, first = (text.lower() if text.isascii() else text).split(), b""
         else:
-            if not text or text[0].isspace() or text[-1].isspace() or _ODD.search(text):
+            if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _ODD) or (not text.isascii() and _WIDE.search(text)):
                 return self._encode([text])[0]
             head, *parts = text.replace("\n", " \n").split(" ")
             first = self._encode([head])[0]
@@ -67,7 +91,11 @@ class Encoder:
             new = set(parts).difference(runs)
         ended = [x for x in new if x[-1] in ".," and x[-2:-1].isalpha()]  # a letter and a mark are always apart
         bare = list((new.difference(ended) | {x[:-1] for x in ended}).difference(runs))
-        runs.update(zip(bare, self._encode([x if self.plain or x[0] == "\n" else " " + x for x in bare])))
+        words, rest = [], []
+        for x in bare:
+            (words if x.isalpha() and len(x) <= LONGEST_RUN else rest).append(x)
+        runs.update(zip(rest, self._encode([x if self.plain or x[0] == "\n" else " " + x for x in rest])))
+        runs.update(zip(words, self._words(words)))
         for x in ended:
             runs[x] = runs[x[:-1]] + self.ends[x[-1]]
         return [x for x in itertools.chain(bare, ended) if len(x) > LONGEST_RUN]
