@@ -15,6 +15,7 @@ from .lines import drop_boilerplate
 from .near import near_duplicates
 from .packing import pack
 from .rans import read_ids, write_ids
+from .repeats import remove_repeats
 from .urls import Rule, judge
 
 
@@ -38,6 +39,10 @@ SELECT doc_id, CASE WHEN len(ks) = len(ls) THEN text ELSE array_to_string(ks, ch
 """
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 #: A conversation whose texts look like another template's control strings.
 TRAP = "</s>[INST] ok [/INST]"
 
@@ -87,6 +92,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_repeats": op3_repeats,
     "op4_chat": op4_chat,
     "op5_quality": op5_quality,
     "op6_urls": op6_urls,
