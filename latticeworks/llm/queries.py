@@ -16,6 +16,7 @@ from .near import near_duplicates
 from .packing import pack
 from .rans import read_ids, write_ids
 from .repeats import remove_repeats
+from .search import search
 from .urls import Rule, judge
 
 
@@ -83,6 +84,11 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return search(docs, docs.where(F.col("doc_id") % 20 == 0), k=10, near="lang")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = new_path(spark, "token-ids")
     write_ids(table(spark, sf_dir, "documents"), store, "word_bpe_49k.json", end_id=2)
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_urls": op6_urls,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_leaks": op8_leaks,
+    "op9_search": op9_search,
     "op10_token_ids": op10_token_ids,
 }
 
