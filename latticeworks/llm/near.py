@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, rec
     weight = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("blocks"))
     placed = members.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     text = own.select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "text")
-    found = text.join(placed, (F.col("of_key") == F.col("key")) & F.col("of").eqNullSafe(F.col("doc_id")))
+    found = text.join(placed.hint("merge"), (F.col("of_key") == F.col("key")) & F.col("of").eqNullSafe(F.col("doc_id")))
     units = found.select("cluster", "key", "copies", "blocks", "block", "text", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     units = units.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "blocks", "text")
     dealt = units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "key")
