@@ -111,7 +111,7 @@ def _doc_places(docs: np.ndarray, n: int) -> np.ndarray:
     return xxhash_long(docs) % n
 
 
-def _find_anchors(length: int, bits: int, doc_places: int, flush: int = 1 << 21) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _find_anchors(length: int, bits: int, doc_places: int, flush: int = 1 << 19) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes]]:
         h, doc, pos = (np.concatenate(c) for c in zip(*held))
         order = np.lexsort((pos, doc, h))
@@ -220,7 +220,7 @@ def frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray,
     return left.astype(np.uint8), right.astype(np.uint8), frame
 
 
-def _send_frames(length: int, bits: int, doc_places: int, hot: np.ndarray, flush: int = 1 << 17) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _send_frames(length: int, bits: int, doc_places: int, hot: np.ndarray, flush: int = 1 << 16) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by place, the candidates of a place before its documents."""
     before = length - GRAM
 
@@ -476,7 +476,7 @@ def _frames_sent(docs: DataFrame, length: int, anchors_a_bucket: int, bytes_a_pl
     return own, sent.repartition("kind", "place").sortWithinPartitions("kind", "place"), places
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, anchors_a_bucket: int = 1 << 20, bytes_a_place: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, anchors_a_bucket: int = 1 << 18, bytes_a_place: int = 16 << 20) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with ``keep_text``,
     spans (start and end, in bytes) and kept (the bytes that stay), else nulls.
 
