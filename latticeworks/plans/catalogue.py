@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import fields, places, tables  # noqa: F401  they register their queries
+from .registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "chunk_report"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-FLAGSHIP = "formula_project"
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
