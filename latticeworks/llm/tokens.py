@@ -11,6 +11,7 @@ import functools
 import itertools
 import os
 import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -89,7 +90,8 @@ class Encoder:
             for x in list(itertools.islice(runs, MOST_RUNS // 2)):
                 del runs[x]
             new = set(parts).difference(runs)
-        ended = [x for x in new if x[-1] in ".," and x[-2:-1].isalpha()]  # a letter and a mark are always apart
+        # A letter and a mark are apart, unless the letter's lower case or composed form ends in a mark of its own.
+        ended = [x for x in new if x[-1] in ".," and (x[-2:-1].isalpha() if x.isascii() else unicodedata.normalize("NFC", x[-2:-1]).lower().isalpha())]
         bare = list((new.difference(ended) | {x[:-1] for x in ended}).difference(runs))
         words, rest = [], []
         for x in bare:
