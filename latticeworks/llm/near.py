@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ._common import documents, drop_table, materialize, mix, sliced, utf8
-from .graph import components
 from .words import SHINGLE, shingles, words
 
 

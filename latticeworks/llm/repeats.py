@@ -125,7 +125,10 @@ def _find_anchors(length: int, bits: int, doc_places: int, flush: int = 1 << 19)
         first[starts] = True
         go = ~known | first
         bucket, key = _places(h[go], bits)
-        yield from _rows(TO_HASH, bucket, np.diff(key, prepend=np.uint64(0)), doc[go], pos[go].astype(np.int32), np.where(known[go], count[go], first[go] * count[go]).astype(np.int32), known[go])
+        step = np.diff(key, prepend=np.uint64(0))
+        new = _runs(bucket)
+        step[new] = key[new]  # each bucket's keys are sums from its own first
+        yield from _rows(TO_HASH, bucket, step, doc[go], pos[go].astype(np.int32), np.where(known[go], count[go], first[go] * count[go]).astype(np.int32), known[go])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -136,10 +139,10 @@ def _find_anchors(length: int, bits: int, doc_places: int, flush: int = 1 << 19)
             held.append((h, batch.column("doc").to_numpy()[row], at - offsets[row]))
             size += len(at)
             if size >= flush:
-                yield _batch(list(sent(held)))
+                yield from (_batch([x]) for x in sent(held))
                 held, size = [], 0
         if size:
-            yield _batch(list(sent(held)))
+            yield from (_batch([x]) for x in sent(held))
 
     return run
 
@@ -148,18 +151,18 @@ def _by_place(batches: Iterator[pa.RecordBatch], single: Callable[[list[bytes]],
     """Rows sorted by kind and place: those for documents go on as they are, the blobs of each bucket go to ``single``."""
     place, held = None, []
     for batch in batches:
-        for r in batch.to_pylist():
-            if r["kind"] == TO_DOC:
-                yield _batch([(TO_DOC, r["place"], r["blob"])])
+        for k in range(batch.num_rows):
+            kind, to, blob = (batch.column(c)[k].as_py() for c in ("kind", "place", "blob"))
+            if kind == TO_DOC:
+                yield _batch([(TO_DOC, to, blob)])
                 continue
-            if held and r["place"] != place:
-                if out := list(single(held)):
-                    yield _batch(out)
+            if held and to != place:
+                yield from (_batch([x]) for x in single(held))
                 held = []
-            place = r["place"]
-            held.append(r["blob"])
-    if held and (out := list(single(held))):
-        yield _batch(out)
+            place = to
+            held.append(blob)
+    if held:
+        yield from (_batch([x]) for x in single(held))
 
 
 def _find_candidates(doc_places: int, often: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
