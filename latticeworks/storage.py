@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -54,6 +55,9 @@ def drop_table(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more, which it does when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of plans that nothing refers to any more, which it does when the driver collects its
+    garbage: once for the plans, and once more for what they held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
