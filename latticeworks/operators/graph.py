@@ -60,3 +60,37 @@ def relax(values: DataFrame, edges: DataFrame, through) -> DataFrame:
         now = after.select("node", "value")
         if not fell:
             return now
+
+
+def depths(edges: DataFrame) -> DataFrame:
+    """node, level: the most edges on a way to each node of an acyclic graph; a cycle is an error. Each round raises what its edges still can."""
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    now = materialize(nodes.withColumn("level", F.lit(0).cast("long")), "depths")
+    most = now.count()
+    while True:
+        offer = now.join(edges.select(F.col("a").alias("node"), "b"), "node").groupBy(F.col("b").alias("node")).agg((F.max("level") + 1).alias("offer"))
+        after = materialize(now.join(offer, "node", "left").select("node", F.greatest("level", F.coalesce("offer", F.lit(0))).alias("level"), (F.col("offer") > F.col("level")).alias("rose")), "depths")
+        state = after.agg(F.bool_or("rose").alias("rose"), F.max("level").alias("top")).first()
+        drop_table(now)
+        now = after.select("node", "level")
+        if not state["rose"]:
+            return now
+        if state["top"] > most:
+            raise ValueError("graph.cycle: the edges have no order")
+
+
+def independent(rows: DataFrame, ties: DataFrame) -> DataFrame:
+    """Ids that are kept if a row goes where one ahead of it (ties: id, ahead) is kept. In each round, rows with nothing undecided ahead are
+    kept or go; the result is that of the sequence."""
+    left, ahead, kept = materialize(rows.select("id"), "left"), materialize(ties.distinct(), "ties"), None
+    while not left.isEmpty():
+        free = materialize(left.join(ahead.select("id").distinct(), "id", "left_anti"), "free")
+        kept = free if kept is None else kept.unionByName(free)
+        gone = ahead.join(free.select(F.col("id").alias("ahead")), "ahead", "left_semi").select("id").distinct()
+        after = materialize(left.join(free, "id", "left_anti").join(gone, "id", "left_anti"), "left")
+        still = ahead.join(after, "id", "left_semi").join(after.select(F.col("id").alias("ahead")), "ahead", "left_semi")
+        still = materialize(still.select("id", "ahead"), "ties")
+        drop_table(left)
+        drop_table(ahead)
+        left, ahead = after, still
+    return kept if kept is not None else rows.select("id")

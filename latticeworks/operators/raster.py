@@ -5,10 +5,13 @@ Neighbour values come from windows over rows and columns of the grid, which are
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import drop_table, materialize
 from .graph import relax
+from .shapes import mask_rings
 
 
 def posts(spark: SparkSession, nx: int, ny: int) -> DataFrame:
@@ -88,8 +91,6 @@ def receivers(field: DataFrame) -> DataFrame:
 def accumulate(field: DataFrame) -> DataFrame:
     """Posts upstream of each post, itself included: by jumps of doubling length along receivers, so rounds grow with the logarithm of
     the longest way. After round n, each post has a tie to every post within 2**n steps downstream."""
-    from ..storage import drop_table, materialize
-
     jump = materialize(receivers(field), "jump")
     count = materialize(field.select(F.struct("i", "j").alias("node"), F.lit(1).cast("long").alias("n")), "count")
     while not jump.isEmpty():
@@ -112,3 +113,30 @@ def changed_region(old: DataFrame, new: DataFrame, side: int) -> DataFrame:
     both = old.withColumnRenamed("value", "was").join(new, ["i", "j"]).where(~F.col("was").eqNullSafe(F.col("value")))
     cell = both.withColumns({"cx": F.floor(F.col("i") / side), "cy": F.floor(F.col("j") / side)})
     return cell.groupBy("cx", "cy").agg(F.min("i").alias("i0"), F.min("j").alias("j0"), F.max("i").alias("i1"), F.max("j").alias("j1"), F.count("*").alias("posts"), F.max(F.abs(F.col("value") - F.col("was"))).alias("most"))
+
+
+def basins(field: DataFrame) -> DataFrame:
+    """i, j, and the pit (pi, pj) at the end of each post's receivers. Each round doubles the jumps, so rounds grow with the logarithm of
+    the longest way."""
+    down = receivers(field)
+    here = field.select(F.struct("i", "j").alias("a"))
+    now = materialize(here.join(down, "a", "left").select("a", F.coalesce("b", "a").alias("b")), "basins")
+    while True:
+        after = materialize(now.join(now.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"), (F.col("b") != F.col("c")).alias("moved")), "basins")
+        moved = not after.where("moved").isEmpty()
+        drop_table(now)
+        now = after.select("a", "b")
+        if not moved:
+            return now.select("a.i", "a.j", F.col("b.i").alias("pi"), F.col("b.j").alias("pj"))
+
+
+def outlines(field: DataFrame, by: str) -> DataFrame:
+    """Rings around where a field is above 0, for each group of posts: by, ring, n, x, y (in posts)."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rings = mask_rings(dict(zip(zip(rows["i"].tolist(), rows["j"].tolist()), rows["value"].tolist())))
+        rings = sorted(r[r.index(min(r)) :] + r[: r.index(min(r))] for r in rings)  # each from its least vertex on
+        out = [(rows[by].iloc[0], k, n, x, y) for k, r in enumerate(rings) for n, (x, y) in enumerate(r)]
+        return pd.DataFrame(out, columns=[by, "ring", "n", "x", "y"])
+
+    return field.select(by, "i", "j", "value").groupBy(by).applyInPandas(one, f"{by} long, ring long, n long, x double, y double")

@@ -200,3 +200,23 @@ def seam_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = raster.neighbours(field(spark, sf_dir), 4).where("(b.i > a.i or b.j > a.j) and abs(va - vb) > 500")
     crossed = (F.floor(F.col("a.i") / 8) != F.floor(F.col("b.i") / 8)) | (F.floor(F.col("a.j") / 8) != F.floor(F.col("b.j") / 8))
     return n.where(crossed).select("a.i", "a.j", F.col("b.i").alias("bi"), F.col("b.j").alias("bj"), F.abs(F.col("va") - F.col("vb")).alias("step"))
+
+
+@query(sql("WITH RECURSIVE n AS (SELECT a.i, a.j, b.i AS bi, b.j AS bj, (a.value - b.value) / CASE WHEN a.i <> b.i AND a.j <> b.j THEN sqrt(2.0) ELSE 1 END AS fall FROM field a JOIN field b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND b.value < a.value), d AS (SELECT i, j, bi, bj FROM n QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY fall DESC, bj, bi) = 1), r AS (SELECT i, j, i AS pi, j AS pj FROM field UNION SELECT r.i, r.j, d.bi, d.bj FROM r JOIN d ON d.i = r.pi AND d.j = r.pj) SELECT r.i, r.j, pi, pj FROM r WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.i = pi AND d.j = pj)", "field").replace("WITH field", "WITH RECURSIVE field").replace(", RECURSIVE n", ", n"))
+def basins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pit that each post drains to, by jumps of doubling length."""
+    return raster.basins(field(spark, sf_dir))
+
+
+@query()
+def mask_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of where a field is above a level, for each zone of rows."""
+    f = field(spark, sf_dir).select(F.floor(F.col("j") / 8).alias("zone"), "i", "j", (F.col("value") - 600).alias("value"))
+    return raster.outlines(f, "zone")
+
+
+@query("WITH h AS (SELECT l_orderkey, count(*) AS n, min(l_shipdate) AS first FROM lineitem GROUP BY 1) SELECT CAST(n AS BIGINT) AS n, count(*) AS orders, round(avg(CAST(l_orderkey AS DOUBLE)), 4) AS middle FROM h GROUP BY 1")
+def partial_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of counts, in parts and then whole."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return n.groupBy("n").agg(F.count("*").alias("orders"), F.round(F.avg(F.col("l_orderkey").cast("double")), 4).alias("middle"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, relational, spatial
+from ..operators import graph, relational, shapes, spatial
 from .registry import query
 from .views import EXTENT, boxes, points, sites, sql, table, vertices
 
@@ -190,3 +190,53 @@ def chunk_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three rows of each chunk by weight."""
     w = Window.partitionBy(F.floor(F.col("x_mm") / 32_000), F.floor(F.col("y_mm") / 32_000)).orderBy(F.desc("weight"), "id")
     return points(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 3").select("id", "kind", "x_mm", "y_mm")
+
+
+_SIDE = "(({a}.bx - {a}.ax) * ({b}.{y} - {a}.ay) - ({a}.by_ - {a}.ay) * ({b}.{x} - {a}.ax))"
+_S1, _S2, _S3, _S4 = (_SIDE.format(a=a, b=b, x=x, y=y) for a, b in (("l", "r"), ("r", "l")) for x, y in (("ax", "ay"), ("bx", "by_")))
+
+
+@query(sql(f"WITH {_SEGMENTS}, s AS (SELECT path * 10 + k AS id, path, ax, ay, bx, by_ FROM lens WHERE path < 250) SELECT l.id AS one, r.id AS two FROM s l JOIN s r ON l.id < r.id AND l.path <> r.path AND sign({_S1}) * sign({_S2}) < 0 AND sign({_S3}) * sign({_S4}) < 0", "vertices"))
+def path_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of different paths that cross, met by tiles."""
+    s = spatial.segments(vertices(spark, sf_dir).where("path < 250"), "path", "seq").withColumn("id", F.col("path") * 10 + F.col("k"))
+    return shapes.crossings(s, 32_000).select("one", "two")
+
+
+@query(sql(f"WITH {_SEGMENTS}, t AS (SELECT *, max(before + length) OVER (PARTITION BY path) AS total FROM cum), c AS (SELECT path, k, greatest(before, total * 0.25) AS a, least(before + length, total * 0.75) AS b FROM t) SELECT path, k, round(a, 3) AS from_mm, round(b, 3) AS to_mm FROM c WHERE a < b", "vertices"))
+def path_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle half of each path."""
+    s = spatial.segments(vertices(spark, sf_dir), "path", "seq")
+    return shapes.substring(s, "path", 0.25, 0.75).select("path", "k", F.round("from_mm", 3).alias("from_mm"), F.round("to_mm", 3).alias("to_mm"))
+
+
+@query(sql("SELECT name, CAST(2 * ((x1 - x0) * (y1 - y0) - (x1 - x0 - 10000) * (y1 - y0 - 10000)) AS BIGINT) AS area2 FROM boxes", "boxes"))
+def triangle_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings cut into triangles, whose areas add up to the ring's."""
+    corners = [("x0", "y0"), ("x1", "y0"), ("x1", "y0 + 10000"), ("x0 + 10000", "y0 + 10000"), ("x0 + 10000", "y1"), ("x0", "y1")]
+    ring = F.array(*(F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in corners))
+    t = shapes.triangulate(boxes(spark, sf_dir).select("name", ring.alias("ring")))
+    return t.groupBy("name").agg(F.sum(F.expr("(x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)")).alias("area2"))
+
+
+@query()
+def simplified_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertices that a tolerance keeps."""
+    return shapes.simplify(vertices(spark, sf_dir), "path", "seq", 40_000)
+
+
+@query(f"WITH RECURSIVE e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM ({_EDGES}) WHERE a <> b), r AS (SELECT a AS node, CAST(0 AS BIGINT) AS level FROM e WHERE a NOT IN (SELECT b FROM e) UNION SELECT e.b, r.level + 1 FROM r JOIN e ON e.a = r.node) SELECT node, max(level) AS level FROM r GROUP BY node")
+def build_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How deep each node stands in an order in which edges go forward."""
+    e = _edges(spark, sf_dir).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return graph.depths(e)
+
+
+@query(sql("WITH RECURSIVE r AS (SELECT id, x_mm, y_mm, weight, row_number() OVER (ORDER BY weight DESC, id) AS n FROM points WHERE id < 300), near AS (SELECT a.id, b.id AS by_id FROM r a JOIN r b ON b.n < a.n AND (a.x_mm - b.x_mm) ** 2 + (a.y_mm - b.y_mm) ** 2 <= 400000000), s AS (SELECT 0 AS n, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT s.n + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE near.id = r.id AND list_contains(s.kept, near.by_id)) THEN s.kept ELSE list_append(s.kept, r.id) END FROM s JOIN r ON r.n = s.n + 1) SELECT unnest(kept) AS id FROM s WHERE n = (SELECT max(n) FROM r)", "points").replace("WITH points", "WITH RECURSIVE points").replace(", RECURSIVE r", ", r"))
+def give_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In order of weight, a row gives way to a kept one nearby, as a fixpoint of whole rounds."""
+    p = points(spark, sf_dir).where("id < 300")
+    near = spatial.within_radius(p, p.select("id", "x_mm", "y_mm"), 20_000).where("id != site")
+    rank = p.select("id", F.struct(-F.col("weight"), "id").alias("rank"))
+    ties = near.join(rank, "id").join(rank.select(F.col("id").alias("site"), F.col("rank").alias("other")), "site").where("other < rank").select("id", F.col("site").alias("ahead"))
+    return graph.independent(p.select("id"), ties)
