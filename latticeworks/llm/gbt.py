@@ -33,7 +33,7 @@ class Trees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, least: float = 5.0, ridge: float = 1.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, least: float = 1.0, ridge: float = 1.0) -> Trees:
     """Boost on the log loss. A sample of one class, or none, gives a constant."""
     inner, leaves, n = 2**depth - 1, 2**depth, len(y)
     mean = (y.sum() + 0.5) / (n + 1)

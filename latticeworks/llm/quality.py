@@ -31,7 +31,7 @@ def _group_table() -> np.ndarray:
 
 
 TABLE = _group_table()
-N_FEATURES = TABLE.shape[1] + 12
+N_FEATURES = TABLE.shape[1] + 13
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -57,9 +57,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts[offsets[:-1][size > 0]] = True
     lines = np.bincount(doc[starts], minlength=n)
     upper = (data >= 65) & (data <= 90)
+    again = np.append(False, (w.hashes[1:] == w.hashes[:-1]) & (w.doc[1:] == w.doc[:-1]))[: len(w.doc)]  # the same word once more
     lead = upper[w.begin] if len(w.begin) else np.empty(0, bool)
     second = upper[np.minimum(w.begin + 1, max(len(data) - 1, 0))] & (length > 1) if len(w.begin) else np.empty(0, bool)
-    more = [np.log1p(size), np.log1p(count), entropy, per_doc(length), np.sqrt(np.maximum(per_doc(length**2.0) - per_doc(length) ** 2, 0)), per_doc(length <= 3), per_doc(length >= 12), per_doc(lead), per_doc(second), distinct, np.log1p(lines), size / np.maximum(lines, 1)]
+    more = [np.log1p(size), np.log1p(count), entropy, per_doc(length), np.sqrt(np.maximum(per_doc(length**2.0) - per_doc(length) ** 2, 0)), per_doc(length <= 3), per_doc(length >= 12), per_doc(lead), per_doc(second), per_doc(again), distinct, np.log1p(lines), size / np.maximum(lines, 1)]
     return np.column_stack([share @ TABLE, *more])
 
 
