@@ -24,3 +24,11 @@ def millimetres(metres: Column) -> Column:
     """Exact: text with more than three decimals, or that is no number, is an error."""
     good = metres.rlike(r"^-?[0-9]+(\.[0-9]{1,3})?$")
     return F.when(good, (metres.cast("decimal(20,3)") * 1000).cast("long")).otherwise(F.raise_error(F.concat(F.lit("number.precision: "), metres)).cast("long"))
+
+
+def normalized(path: Column) -> Column:
+    """A relative path without empty parts and dots, each ``..`` undoing the part before it; one that would leave is an error."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    start = F.array().cast("array<string>")
+    walked = F.aggregate(parts, start, lambda done, p: F.when(p != "..", F.concat(done, F.array(p))).when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(F.raise_error(F.lit("path.leaves")).cast("string")))))
+    return F.array_join(walked, "/")
