@@ -37,6 +37,8 @@ UNBASE = pow(BASE, -1, 1 << 64)
 CODES = mix(np.arange(1, 257, dtype=np.uint64))
 #: The place of a null doc_id in the order of documents: after all others.
 LAST = (1 << 63) - 1
+#: Marks the frame of a single string of a very frequent anchor, which has nothing before it.
+APART = 255
 #: Rows that workers send: to a bucket of hashes, or back to documents.
 TO_HASH, TO_DOC = 0, 1
 
@@ -186,8 +188,25 @@ def _find_candidates(doc_places: int, often: int) -> Callable[[Iterator[pa.Recor
     return lambda batches: _by_place(batches, single)
 
 
+class Numbered:
+    """Numbers rows of one doc_id from 0, in rows that come sorted by it; nearly always all are 0."""
+
+    def __init__(self) -> None:
+        self.doc, self.n = None, 0
+
+    def __call__(self, docs: np.ndarray) -> np.ndarray:
+        starts = _runs(docs)
+        out = np.arange(len(docs)) - _spread(starts, starts, len(docs))
+        if len(docs):
+            if docs[0] == self.doc:
+                out[: starts[1] if len(starts) > 1 else len(docs)] += self.n
+            self.doc, self.n = docs[-1], int(out[-1]) + 1
+        return out
+
+
 class Frames:
-    """Frames around anchors: ``before`` bytes reversed, ``after`` bytes from the anchor on, and how many of each are in the document."""
+    """Frames around anchors: what follows them, then what goes before, reversed; how many bytes of both are in the document; and
+    where they are: doc, text (the number of a row among those of its doc) and pos."""
 
     def __init__(self, key: np.ndarray, doc: np.ndarray, text: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, frame: np.ndarray) -> None:
         self.columns = [key, doc, text, pos, left, right, frame]
@@ -236,7 +255,7 @@ def _send_frames(length: int, bits: int, doc_places: int, hot: np.ndarray, flush
                 string = np.concatenate([f.frame[ok][:, length : length + o][:, ::-1], f.frame[ok][:, : length - o]], axis=1)
                 wide = np.zeros((len(ok), f.frame.shape[1]), np.uint8)
                 wide[:, :length] = string
-                parts.append([string_hashes(string), f.doc[ok], f.text[ok], f.pos[ok] - o, np.zeros(len(ok), np.uint8), np.full(len(ok), length, np.uint8), wide])
+                parts.append([string_hashes(string), f.doc[ok], f.text[ok], f.pos[ok] - o, np.full(len(ok), APART, np.uint8), np.full(len(ok), length, np.uint8), wide])
         return Frames.joined(parts) if parts else f.take(np.empty(0, np.int64))
 
     def sent(held: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
@@ -249,18 +268,19 @@ def _send_frames(length: int, bits: int, doc_places: int, hot: np.ndarray, flush
         if not n:
             return
         least = f.doc == _spread(f.doc[starts], starts, n)
-        full = ~least & (f.left.astype(np.int64) + f.right >= length)
-        yield from _covered(f.doc[full], f.text[full], f.pos[full] - f.left[full], f.pos[full] + f.right[full], doc_places)
+        left = np.where(f.left == APART, 0, f.left).astype(np.int64)
+        full = ~least & (left + f.right >= length)
+        yield from _covered(f.doc[full], f.text[full], f.pos[full] - left[full], f.pos[full] + f.right[full], doc_places)
         f = f.take(least)
         bucket, _ = _places(f.key, bits)
-        yield from _rows(TO_HASH, bucket, *f.columns)
+        yield from _rows(TO_HASH, bucket, *f.columns[1:])  # the key is a hash of the frame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, place, candidates = [], 0, None, None
         for batch in sliced(batches, "text"):
             for part in _same_place(batch):
                 if part.column("place")[0].as_py() != place:
-                    place, candidates, blobs = part.column("place")[0].as_py(), None, []
+                    place, candidates, blobs, numbered = part.column("place")[0].as_py(), None, [], Numbered()
                 coming = [b for b in part.column("blob").to_pylist() if b is not None]
                 blobs += coming
                 part = part.slice(len(coming))
@@ -272,6 +292,7 @@ def _send_frames(length: int, bits: int, doc_places: int, hot: np.ndarray, flush
                     candidates = doc[order], pos[order]
                 data, offsets = utf8(part.column("text"))
                 own = part.column("doc").to_numpy()
+                number = numbered(own)
                 lo, hi = np.searchsorted(candidates[0], own), np.searchsorted(candidates[0], own, side="right")
                 row = np.repeat(np.arange(len(own)), hi - lo)
                 pos = candidates[1][np.repeat(lo - np.append(0, np.cumsum(hi - lo)[:-1]), hi - lo) + np.arange(len(row))].astype(np.int64)
@@ -281,7 +302,7 @@ def _send_frames(length: int, bits: int, doc_places: int, hot: np.ndarray, flush
                 if not len(at):
                     continue
                 left, right, frame = frames(data, offsets[row], offsets[row + 1], at, length)
-                held.append([string_hashes(frame[:, :GRAM]), own[row], part.column("xh").to_numpy()[row], pos, left, right, frame])
+                held.append([string_hashes(frame[:, :GRAM]), own[row], number[row], pos, left, right, frame])
                 size += len(at)
                 if size >= flush:
                     yield from (_batch([x]) for x in sent(held))
@@ -399,13 +420,18 @@ def repeats_in(f: Frames, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return spread(group, last + np.arange(len(lone))), row, f.pos[row] - spread(left, f.left[starts[lone]]), f.pos[row] + spread(right, f.right[starts[lone]]), spread(least, f.doc[starts[lone]])
 
 
-def _bucket_frames(blobs: list[bytes]) -> Frames:
-    return Frames.joined([unpack(b) for b in blobs]).sorted()
+def _bucket_frames(blobs: list[bytes], length: int) -> Frames:
+    doc, text, pos, left, right, frame = (np.concatenate(c) for c in zip(*map(unpack, blobs)))
+    apart = left == APART
+    key = string_hashes(frame[:, :GRAM])
+    if apart.any():
+        key[apart] = string_hashes(frame[apart][:, :length])
+    return Frames(key, doc, text, pos, np.where(apart, 0, left).astype(np.uint8), right, frame).sorted()
 
 
 def _find_repeats(length: int, doc_places: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def single(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        f = _bucket_frames(blobs)
+        f = _bucket_frames(blobs, length)
         _, row, start, end, least = repeats_in(f, length)
         go = f.doc[row] > least
         yield from _covered(f.doc[row][go], f.text[row][go], start[go], end[go], doc_places)
@@ -415,12 +441,12 @@ def _find_repeats(length: int, doc_places: int) -> Callable[[Iterator[pa.RecordB
 
 def _cut_out(keep_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, spans = None, {}
+        place, spans, numbers = None, {}, {}
         for batch in sliced(batches, "text"):
             out = []
             for r in batch.to_pylist():
                 if r["place"] != place:
-                    place, spans = r["place"], {}
+                    place, spans, numbers = r["place"], {}, {}
                 if r["blob"] is not None:
                     doc, text, start, end = unpack(r["blob"])
                     owner = _runs(doc, text)
@@ -428,7 +454,8 @@ def _cut_out(keep_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                         spans.setdefault((int(doc[a]), int(text[a])), []).append((start[a:b], end[a:b]))
                     continue
                 raw = r["text"].encode()
-                own = spans.get((r["doc"], r["xh"]), [])
+                number = numbers[r["doc"]] = numbers.get(r["doc"], -1) + 1
+                own = spans.get((r["doc"], number), [])
                 cover = np.zeros(len(raw) + 1, np.int32)
                 for start, end in own:
                     np.add.at(cover, start, 1)
@@ -463,20 +490,21 @@ def _with_texts(own: DataFrame, blobs: DataFrame, places: int) -> DataFrame:
     """Blobs and texts that belong to a place, blobs first."""
     texts = own.select(F.pmod(F.xxhash64("doc"), F.lit(places)).alias("place"), F.lit(None).cast("binary").alias("blob"), "doc_id", "doc", "xh", "text")
     coming = blobs.select("place", "blob", *(F.lit(None).cast("long").alias(c) for c in ("doc_id", "doc", "xh")), F.lit("").alias("text"))
-    return texts.unionByName(coming).repartition("place").sortWithinPartitions("place", F.col("blob").isNull(), "doc", "xh")
+    return texts.unionByName(coming).repartition(places, "place").sortWithinPartitions("place", F.col("blob").isNull(), "doc", "xh")
 
 
 def _frames_sent(docs: DataFrame, length: int, anchors_a_bucket: int, bytes_a_place: int) -> tuple[DataFrame, DataFrame, int]:
     """Texts, frames dealt to buckets, number of places."""
     own, bits, places, often = _plan(docs, anchors_a_bucket, bytes_a_place)
-    dealt = own.select("doc", "text").mapInArrow(_find_anchors(length, bits, places), _SENT).repartition("kind", "place").sortWithinPartitions("kind", "place")
+    tasks = max(8, ((1 << bits) + places) // 8)  # some eight buckets a task, however large the input
+    dealt = own.select("doc", "text").mapInArrow(_find_anchors(length, bits, places), _SENT).repartition(tasks, "kind", "place").sortWithinPartitions("kind", "place")
     candidates = materialize(dealt.mapInArrow(_find_candidates(places, often), _SENT), "candidates")
     del dealt
     release(docs.sparkSession)
     # Anchors with more than 1 / 100,000 of all occurrences: 100,000 at most.
     hot = [unpack(r["blob"])[0] for r in candidates.where(F.col("kind") == TO_HASH).select("blob").collect()]
     sent = _with_texts(own, candidates.where(F.col("kind") == TO_DOC), places).mapInArrow(_send_frames(length, bits, places, np.sort(np.concatenate(hot)) if hot else np.empty(0, np.uint64)), _SENT)
-    return own, sent.repartition("kind", "place").sortWithinPartitions("kind", "place"), places
+    return own, sent.repartition(tasks, "kind", "place").sortWithinPartitions("kind", "place"), places
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, anchors_a_bucket: int = 1 << 18, bytes_a_place: int = 16 << 20) -> DataFrame:
