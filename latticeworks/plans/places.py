@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, relational, shapes, spatial
+from ..operators import graph, place, relational, shapes, spatial
 from .registry import query
 from .views import EXTENT, boxes, points, sites, sql, table, vertices
 
@@ -240,3 +240,53 @@ def give_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = p.select("id", F.struct(-F.col("weight"), "id").alias("rank"))
     ties = near.join(rank, "id").join(rank.select(F.col("id").alias("site"), F.col("rank").alias("other")), "site").where("other < rank").select("id", F.col("site").alias("ahead"))
     return graph.independent(p.select("id"), ties)
+
+
+def _wood() -> place.Scatter:
+    return place.Scatter("trees", 4000, (("oak", 2_000_000), (("ash", "birch", "alder"), 1_000_000)), scale=(0.8, 1.2), members=(0, 3), radius=1500, shrink=0.25)
+
+
+@query()
+def scatter_clumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5, Q6, Q7, F8: a scatter with weighted assets and clumps, thinned by a formula."""
+    density = F.lit(0.2) + F.lit(0.6) * F.col("y_mm") / 256_000
+    keep_out = F.when((F.col("x_mm") - 128_000) * (F.col("x_mm") - 128_000) < 400_000_000, 1.0).otherwise(0.0)
+    return place.scatter(spark, _wood(), (0, 0, 255_999, 255_999), density, keep_out).withColumn("scale", F.round("scale", 9))
+
+
+@query()
+def scatter_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8: growth beside what is there already: the chance falls with the distance to another producer's instances."""
+    bushes = place.Scatter("bushes", 3000, (("broom", 1_000_000),))
+    found = place.candidates(spark, bushes, (0, 0, 255_999, 255_999))
+    near = spatial.within_radius(found.withColumn("id", F.struct("i", "j")).select("id", "x_mm", "y_mm"), sites(spark, sf_dir), 20_000).groupBy("id").agg(F.min("d2").alias("d2"))
+    chance = F.greatest(F.lit(0.0), 1.0 - F.sqrt(F.col("d2").cast("double")) / 20_000.0)
+    return found.withColumn("id", F.struct("i", "j")).join(near, "id").where(F.col("u") < chance).select("i", "j", "x_mm", "y_mm")
+
+
+@query(sql(f"WITH {_SEGMENTS}, w AS (SELECT path, CAST(round_even(max(before + length), 0) AS BIGINT) AS free FROM cum GROUP BY path), n AS (SELECT path, free, greatest((2 * free + 20000) // 40000, 1) AS n FROM w WHERE free > 0) SELECT path, k, (2 * k + 1) * free // (2 * n) AS s FROM (SELECT path, free, n, unnest(range(n)) AS k FROM n)", "vertices"))
+def run_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: members at even steps along each path."""
+    lines = spatial.segments(vertices(spark, sf_dir), "path", "seq")
+    return place.stations(lines, "path", spacing=20_000).select("path", "k", "s")
+
+
+@query()
+def run_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members with points, offset to the left, and bearings."""
+    lines = spatial.segments(vertices(spark, sf_dir).where("path < 2000"), "path", "seq")
+    return place.run_members(lines, "path", spacing=30_000, ends="both", offset=500)
+
+
+@query(sql("SELECT p.id || '#' || i.name AS name, asset, x_mm + CASE id % 4 WHEN 0 THEN dx WHEN 1 THEN dy WHEN 2 THEN -dx ELSE -dy END AS x_mm, y_mm + CASE id % 4 WHEN 0 THEN dy WHEN 1 THEN -dx WHEN 2 THEN -dy ELSE dx END AS y_mm, (id % 4 * 90000 + turn) % 360000 AS face FROM points p CROSS JOIN (VALUES ('door', 'gate', 0, 100, 0), ('lamp', 'lamp', 250, -50, 90000)) i(name, asset, dx, dy, turn)", "points"))
+def set_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set's items in the frames of its places."""
+    places = points(spark, sf_dir).select(F.lit("yard").alias("set"), F.col("id").cast("string").alias("maker"), "x_mm", "y_mm", (F.col("id") % 4 * 90_000).alias("face"))
+    items = spark.createDataFrame([("yard", "door", "gate", 0, 100, 0), ("yard", "lamp", "lamp", 250, -50, 90_000)], "set string, name string, asset string, dx long, dy long, turn long")
+    return place.set_items(places, items)
+
+
+@query()
+def smooth_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: curves through the vertices of paths."""
+    return place.smooth_paths(vertices(spark, sf_dir).where("path < 300"), "path", "seq", 5000)
