@@ -48,6 +48,20 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRAP = "</s>[INST] ok [/INST]"
 
 
+#: The same from the rows, without the format but for its lengths.
+OP4_SQL = r"""
+WITH own AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+esc AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|<|/?SYS>>|start_of_turn>|end_of_turn>)', '\1\2\\\3', 'g')) AS chars,
+  coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = role, false) AS merged FROM own)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + CASE WHEN merged THEN 10 ELSE 12 + length(role) + 10 + 11 END) AS BIGINT) AS formatted_chars
+FROM esc GROUP BY conv_id
+"""
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
@@ -80,13 +94,44 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: All pairs of texts that share a shingle, and their components.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+c AS (SELECT text, min(doc_id) AS rep, count(*) AS copies, any_value(ws) AS ws FROM d GROUP BY text),
+s AS (SELECT rep, unnest(CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ') || chr(1)] WHEN text <> '' THEN [text || chr(2)] ELSE [] END) AS g FROM c),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.rep <> y.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.rep = a JOIN n nb ON nb.rep = b WHERE m * 180 >= 80 * (na.n + nb.n)),
+r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+k AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+t AS (SELECT a AS rep, sum(copies) AS links FROM l JOIN c ON c.rep = l.b GROUP BY a)
+SELECT doc_id, root AS class_id, CAST(coalesce(links, 0) + copies - 1 AS BIGINT) AS n_links, copies AS n_copies
+FROM d JOIN c USING (text) JOIN k ON node = c.rep LEFT JOIN t ON t.rep = c.rep
+"""
+
+
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return search(docs, docs.where(F.col("doc_id") % 20 == 0), k=10, near="lang")
+    return search(docs, docs.where(F.col("doc_id") % 20 == 0), k=10, near="lang").withColumn("score", F.round("score", 6))
+
+
+#: Scores of all pairs that share a word.
+OP9_SQL = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+')) AS w FROM documents),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM words GROUP BY doc_id, w),
+len AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id),
+n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM words) / (SELECT count(*) FROM documents) AS mean),
+idf AS (SELECT w, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY w, n),
+hit AS (SELECT q.doc_id AS query_id, d.doc_id, sum(idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score
+  FROM tf q JOIN tf d ON q.w = d.w JOIN idf ON idf.w = q.w JOIN len ON len.doc_id = d.doc_id, n WHERE q.doc_id % 20 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score
+FROM hit QUALIFY rank <= 10
+"""
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op4_chat": OP4_SQL,
+    "op7_near_duplicates": OP7_SQL,
+    "op9_search": OP9_SQL,
 }
