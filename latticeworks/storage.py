@@ -21,8 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/latticeworks-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application's operators keep in shared storage; results that aren't written elsewhere go with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def parallelism(df: DataFrame, bytes_a_task: int = 64 << 20) -> int:
+    """Tasks for a shuffle of ``df``: the session's shuffle partitions, or more where the files it reads, by Spark's own estimate, would
+    make them larger than ``bytes_a_task``."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // bytes_a_task)) if size < 1 << 60 else least  # beyond, Spark doesn't know
 
 
 @contextlib.contextmanager
