@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import drop_table, materialize, new_path, release, shared_dir  # noqa: F401
+from ..storage import drop_table, materialize, new_path, parallelism, release  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

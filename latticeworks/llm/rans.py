@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, drop_table, materialize, sliced
+from ._common import documents, drop_table, materialize, parallelism, sliced
 from .tokens import encoder, local_path
 
 MAGIC, HEAD = b"LWR1", struct.Struct("<4s5I")
@@ -187,7 +187,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids
     vocabulary = max(Tokenizer.from_file(place).get_vocab_size(), end_id + 1)
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     spark = docs.sparkSession
-    ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = documents(docs).repartitionByRange(parallelism(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     raw = materialize(ordered.mapInArrow(_raw_blocks(place, dtype, end_id, block_ids), _RAW), "ids")
     # One row an id of the vocabulary at most.
     counted = raw.select("ids").mapInArrow(_counts(dtype, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
