@@ -147,3 +147,23 @@ def overlaps(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     inside = (F.col("l.x0") < F.col("r.x1")) & (F.col("r.x0") < F.col("l.x1")) & (F.col("l.y0") < F.col("r.y1")) & (F.col("r.y0") < F.col("l.y1"))
     corner = (tile(F.greatest("l.x0", "r.x0"), size) == F.col("l.tx")) & (tile(F.greatest("l.y0", "r.y0"), size) == F.col("l.ty"))
     return met.where(inside & corner).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+
+def along_segments(points: DataFrame, lines: DataFrame, radius: int) -> DataFrame:
+    """Pairs of a point (id) and a segment (path, k) at most ``radius`` apart: id, path, k, d. Segments go to the tiles their box,
+    grown by the radius, touches."""
+    grown = lines.withColumns({"x0": F.least("ax", "bx") - radius, "x1": F.greatest("ax", "bx") + radius, "y0": F.least("ay", "by_") - radius, "y1": F.greatest("ay", "by_") + radius})
+    size = max(radius * 4, 1)
+    met = in_boxes(points, grown, size)
+    ux, uy = F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay")
+    wx, wy = F.col("x_mm") - F.col("ax"), F.col("y_mm") - F.col("ay")
+    t = F.least(F.greatest((ux * wx + uy * wy).cast("double") / (ux * ux + uy * uy), F.lit(0.0)), F.lit(1.0))
+    dx, dy = wx - t * ux, wy - t * uy
+    return met.withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= radius).select("id", "path", "k", "d")
+
+
+def bring(rows: DataFrame, prefix: str, x_mm: int, y_mm: int, face: int, columns: tuple[str, ...] = ("name",)) -> DataFrame:
+    """Another world's rows in this one's frame: points turned by whole quarters and moved, names under a prefix."""
+    x, y = turned(F.col("x_mm"), F.col("y_mm"), F.lit(face))
+    moved = rows.withColumns({"__x": x + x_mm, "__y": y + y_mm}).drop("x_mm", "y_mm").withColumnsRenamed({"__x": "x_mm", "__y": "y_mm"})
+    return moved.withColumns({c: F.concat(F.lit(f"{prefix}."), F.col(c)) for c in columns})
