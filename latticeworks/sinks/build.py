@@ -55,24 +55,39 @@ def read_build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{m['version']}/{n}") for n, m in read_manifest(spark, path).items()}
 
 
-def build(spark: SparkSession, path: str, sources: dict[str, DataFrame], steps: list[Step]) -> dict[str, str]:
-    """Run the steps whose keys changed; returns each table's status: made, reused, or cut_off (made, with the same rows as
-    before, so that its readers are reused)."""
+def build(spark: SparkSession, path: str, sources: dict[str, DataFrame], steps: list[Step], verify: bool = False) -> dict[str, str]:
+    """Run the steps whose keys changed; returns each table's status: made, reused, cut_off (made, with the same rows as
+    before, so that its readers are reused), failed (with why), skipped (a table it reads failed), or, with ``verify``, unstable (made
+    twice, with other rows).
+
+    A build with a failure isn't swapped in: readers keep the one before.
+    """
     old, version, status, manifest = read_manifest(spark, path), uuid.uuid4().hex, {}, {}
     values = {n: row_digest(df)[1] for n, df in sources.items()}
     tables = dict(sources)
     for s in steps:
+        if any(i not in values for i in s.inputs):
+            status[s.name] = "skipped"
+            continue
         key = key_of(s.name, s.make.__code__.co_code.hex() if hasattr(s.make, "__code__") else repr(s.make), s.params, [values[i] for i in s.inputs])
         before = old.get(s.name)
         if before and before["key"] == key:
             status[s.name], manifest[s.name] = "reused", before
         else:
-            s.make(*(tables[i] for i in s.inputs), **s.params).write.parquet(f"{path}/{version}/{s.name}")
+            try:
+                s.make(*(tables[i] for i in s.inputs), **s.params).write.parquet(f"{path}/{version}/{s.name}")
+            except Exception as e:  # other steps go on
+                status[s.name] = f"failed: {str(e).splitlines()[0][:200]}"
+                continue
             rows, digest = row_digest(spark.read.parquet(f"{path}/{version}/{s.name}"))
             status[s.name] = "cut_off" if before and before["digest"] == digest else "made"
+            if verify and row_digest(s.make(*(tables[i] for i in s.inputs), **s.params)) != (rows, digest):
+                status[s.name] = "unstable"
             manifest[s.name] = {"name": s.name, "key": key, "rows": rows, "digest": digest, "version": version}
         values[s.name] = manifest[s.name]["digest"]
         tables[s.name] = spark.read.parquet(f"{path}/{manifest[s.name]['version']}/{s.name}")
+    if any(v.startswith(("failed", "skipped")) for v in status.values()):
+        return status
     rows = [tuple(manifest[n][c] for c in ("name", "key", "rows", "digest", "version")) for n in sorted(manifest)]
     spark.createDataFrame(rows, "name string, key string, rows long, digest string, version string").coalesce(1).write.parquet(f"{path}/manifest-{version}")
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(f"{path}/next-{version}")
@@ -80,6 +95,16 @@ def build(spark: SparkSession, path: str, sources: dict[str, DataFrame], steps:
     return status
 
 
+def explain(name: str, steps: list[Step], status: dict[str, str]) -> list[tuple[str, str]]:
+    """Why a table has its status: the chain of tables it reads, each the first that isn't reused, down to a source."""
+    by_name, out = {s.name: s for s in steps}, []
+    while name in by_name:
+        out.append((name, status.get(name, "missing")))
+        inputs = by_name[name].inputs
+        name = next((i for i in inputs if not status.get(i, "source").startswith("reused")), inputs[0] if inputs else "")
+    return [*out, (name, "source")] if name else out
+
+
 def _swap(spark: SparkSession, new: str, current: str) -> None:
     """A rename is the only step in which the old build gives way."""
     jvm = spark.sparkContext._jvm

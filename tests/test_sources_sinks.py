@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticeworks.sinks.build import Step, build, check, read_build
+from latticeworks.sinks.build import Step, build, check, explain, read_build
 from latticeworks.sources.arrays import parse_png, read_arrays, read_png, resample, write_npy
 from latticeworks.sources.world import DocumentError, Layer, entities, read_world
 from latticeworks.streaming.incremental import current, upkeep
@@ -115,3 +115,17 @@ def test_stream_upkeep_equals_a_whole_summary(spark, tmp_path):
         edits = spark.readStream.schema("chunk long, v long").option("maxFilesPerTrigger", 1).parquet(incoming)
         upkeep(spark, edits, rows, out, ["chunk"], summarize, str(tmp_path / "checkpoint")).awaitTermination()
         assert sorted(map(tuple, current(spark, out).select("chunk", "n", "v").collect())) == sorted(map(tuple, summarize(everything).collect()))
+
+
+def test_build_with_failures(spark, tmp_path):
+    path, calls = str(tmp_path / "build"), []
+
+    def uneven(d):
+        calls.append(1)
+        return d.select((F.col("id") + len(calls)).alias("id"))
+
+    steps = [Step("bad", lambda d: d.select(F.raise_error(F.lit("no"))), ["source"]), Step("after", lambda d: d, ["bad"]), Step("fine", uneven, ["source"])]
+    got = build(spark, path, {"source": spark.range(3)}, steps, verify=True)
+    assert got["bad"].startswith("failed") and got["after"] == "skipped" and got["fine"] == "unstable"
+    assert read_build(spark, path) == {}
+    assert explain("after", steps, got)[:2] == [("after", "skipped"), ("bad", got["bad"])] and explain("after", steps, got)[-1] == ("source", "source")
