@@ -107,7 +107,20 @@ def _searched(shards: list[Shard], threshold: float, overlap: float) -> Callable
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.3, size: int = SHINGLE, block: int = 2, shard: int = 512, shards: int = 16) -> DataFrame:
+def _groups(items: Iterator[Item], most: int, words: int) -> Iterator[list[Item]]:
+    """So many items, or fewer with so many words, and one item more at most."""
+    held, size = [], 0
+    for x in items:
+        held.append(x)
+        size += len(x.words)
+        if len(held) == most or size >= words:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.3, size: int = SHINGLE, block: int = 2, shard: int = 512, shard_words: int = 200_000, shards: int = 16) -> DataFrame:
     """One row for each document and item it gives away: doc_id, item_id, score (BM25 by the best passage, as a share of the
     item's own), overlap, question_overlap, answer_overlap (shares of n-grams of ``size`` words).
 
@@ -120,7 +133,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text")
     out = docs.sparkSession.createDataFrame([], shape)
     items = (x for x in (Item(r["item_id"], r["text"], size) for r in rows.toLocalIterator()) if len(x.words))
-    made = iter(lambda: list(itertools.islice(items, shard)), [])
+    made = _groups(items, shard, shard_words)
     while group := [Shard(x, block) for x in itertools.islice(made, shards)]:
         out = out.unionByName(own.mapInArrow(_searched(group, threshold, overlap), shape))
     return out

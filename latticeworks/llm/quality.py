@@ -88,7 +88,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Trees:
-    """Learn ``quality`` from ``rows`` labelled documents outside the held-out fifth, chosen by a hash of their ids."""
+    """Learn ``quality`` from ``rows`` labelled documents outside the held-out fifth, chosen by a hash of their ids.
+
+    Labels other than 0 and 1, and null ids, aren't learnt from; a null text is an empty one; a document with several labels, or an
+    id that repeats, counts once for each. Without documents of both labels, the score is their share (one half without any).
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     own = own.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = own.orderBy(F.xxhash64("doc_id"), "quality").limit(rows)  # so many rows, whatever the input
