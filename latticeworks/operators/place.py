@@ -193,3 +193,25 @@ def smooth_paths(vertices: DataFrame, by: str, order: str, step: int = 250) -> D
             yield pd.DataFrame(rows, columns=[by, "n", "x_mm", "y_mm"])
 
     return paths.mapInPandas(run, f"{by} {vertices.schema[by].dataType.simpleString()}, n long, x_mm long, y_mm long")
+
+
+def cells(lines: DataFrame, by: str, width: int, depth: int) -> DataFrame:
+    """Cells along the left of lines: bands ``depth`` deep, divided evenly at about every ``width`` mm; by, k, frontage, and corners as a ring of
+    four points. A cell that a bend cuts short keeps its four corners."""
+    whole = lines.groupBy(by).agg(F.floor(F.max(F.col("before") + F.col("length"))).cast("long").alias("whole")).where("whole > 0")
+    cut = whole.withColumn("n", F.greatest(F.expr(f"(2 * whole + {width}) div (2 * {width})"), F.lit(1))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    ends = cut.select(by, "k", F.expr("k * whole div n").alias("a"), F.expr("(k + 1) * whole div n").alias("b"))
+    spots = ends.select(by, "k", "a", "b", F.explode(F.array(*(F.struct(F.lit(c).alias("corner"), F.col(e).cast("double").alias("s"), F.lit(o).alias("offset")) for c, e, o in ((0, "a", 0), (1, "b", 0), (2, "b", depth), (3, "a", depth))))).alias("c"))
+    last = lines.groupBy(by).agg(F.max(F.col("before") + F.col("length")).alias("end"))
+    held = spots.select(by, "k", "a", "b", "c.corner", "c.s", "c.offset").join(last, by).withColumn("s", F.least("s", F.col("end") * (1 - 1e-12))).drop("end")
+    placed = interpolate(held, lines.drop("k"), by)
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("corner", "x_mm", "y_mm"))), lambda p: F.struct(p["x_mm"].alias("x"), p["y_mm"].alias("y")))
+    return placed.groupBy(by, "k").agg(F.max(F.col("b") - F.col("a")).alias("frontage"), ring.alias("ring"))
+
+
+def follow(lines: DataFrame, by: str, step: int, offset: int) -> DataFrame:
+    """A path beside each line, ``offset`` to its left (to its right if below 0): by, n, x_mm, y_mm, at about every ``step`` mm and both ends."""
+    placed = run_members(lines, by, spacing=step, ends="both", offset=offset)
+    w = Window.partitionBy(by).orderBy("k")
+    moved = placed.withColumn("same", (F.lag("x_mm").over(w) == F.col("x_mm")) & (F.lag("y_mm").over(w) == F.col("y_mm")))
+    return moved.where(~F.coalesce("same", F.lit(False))).select(by, (F.row_number().over(w) - 1).cast("long").alias("n"), "x_mm", "y_mm")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formula import Scope, compile_formula
-from ..operators import raster, spatial, terrain
+from ..operators import place, raster, spatial, terrain
 from .places import _SEGMENTS
 from .registry import query
 from .views import boxes, field, points, sites, sql, vertices
@@ -99,3 +99,39 @@ def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settled_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slopes over a repose relaxed, mass kept."""
     return terrain.relax_slopes(field(spark, sf_dir), 300.0, 4).select("i", "j", F.round("value", 6).alias("value"))
+
+
+@query()
+def frontage_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells along the left of paths, as rings."""
+    lines = spatial.segments(vertices(spark, sf_dir).where("path < 500"), "path", "seq")
+    return place.cells(lines, "path", 12_000, 8000).select("path", "k", "frontage", F.get("ring", F.lit(2))["x"].alias("far_x"), F.get("ring", F.lit(2))["y"].alias("far_y"))
+
+
+@query()
+def followed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths written beside other paths."""
+    return place.follow(spatial.segments(vertices(spark, sf_dir).where("path < 500"), "path", "seq"), "path", 10_000, -1500)
+
+
+@query(sql("WITH RECURSIVE g AS (SELECT i, j, value FROM field WHERE i < 12 AND j < 10), s AS (SELECT DISTINCT value AS h FROM g), r AS (SELECT h, i, j FROM s JOIN g ON value <= h AND (i IN (0, 11) OR j IN (0, 9)) UNION SELECT r.h, g.i, g.j FROM r JOIN g ON abs(g.i - r.i) <= 1 AND abs(g.j - r.j) <= 1 AND g.value <= r.h), f AS (SELECT i, j, min(h) AS filled FROM r GROUP BY i, j) SELECT i, j, CASE WHEN filled - value < 60 THEN filled ELSE value END AS value FROM f JOIN g USING (i, j)", "field").replace("WITH field", "WITH RECURSIVE field").replace(", RECURSIVE g", ", g"))
+def shallow_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depressions shallower than a depth are filled, deeper ones stay."""
+    f = field(spark, sf_dir).where("i < 12 and j < 10")
+    filled = raster.fill(f, F.col("i").isin(0, 11) | F.col("j").isin(0, 9))
+    return f.join(filled, ["i", "j"]).select("i", "j", F.when(F.col("filled") - F.col("value") < 60, F.col("filled")).otherwise(F.col("value")).alias("value"))
+
+
+@query(sql("SELECT s.id AS effect, count(*) AS posts, round(max(1 - sqrt((p.x_mm - s.x_mm) ** 2 + (p.y_mm - s.y_mm) ** 2) / 12000.0), 6) AS most FROM sites s JOIN points p ON (p.x_mm - s.x_mm) ** 2 + (p.y_mm - s.y_mm) ** 2 BETWEEN 64000000 AND 100000000 WHERE 1 - sqrt((p.x_mm - s.x_mm) ** 2 + (p.y_mm - s.y_mm) ** 2) / 12000.0 > 0.02 GROUP BY 1", "points", "sites"))
+def ring_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of an effect's mask is left in the ring inside its radius."""
+    near = spatial.within_radius(points(spark, sf_dir), sites(spark, sf_dir), 10_000).where("d2 >= 64000000")
+    mask = 1 - F.sqrt(F.col("d2").cast("double")) / 12_000.0
+    return near.withColumn("mask", mask).where("mask > 0.02").groupBy(F.col("site").alias("effect")).agg(F.count("*").alias("posts"), F.round(F.max("mask"), 6).alias("most"))
+
+
+@query(sql("SELECT id, upper(substr(kind, 1, 1)) || lower(substr(kind, 2)) || ' ' || id || CASE WHEN weight < 0 THEN ' (owing)' ELSE '' END AS label FROM points", "points"))
+def map_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names out of attributes."""
+    owing = F.when(F.col("weight") < 0, F.lit(" (owing)")).otherwise(F.lit(""))
+    return points(spark, sf_dir).select("id", F.concat(F.initcap(F.lower("kind")), F.lit(" "), F.col("id").cast("string"), owing).alias("label"))

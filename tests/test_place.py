@@ -65,3 +65,11 @@ def test_smooth_keeps_written_points():
     assert all(math.dist(a, b) < 400 for a, b in zip(curve, curve[1:]))
     assert place.smooth(points[:2]) == points[:2]
     assert place.smooth([(0, 0), (1000, 0), (2000, 0)]) == [(x, 0) for x in range(0, 2001, 250)]
+
+
+def test_cells_and_followed_paths(spark):
+    line = spatial.segments(spark.createDataFrame([(1, 0, 0, 0), (1, 1, 1000, 0)], "path long, seq long, x_mm long, y_mm long"), "path", "seq")
+    got = {r.k: (r.frontage, [(p.x, p.y) for p in r.ring]) for r in place.cells(line, "path", 400, 200).collect()}
+    assert got == {0: (333, [(0, 0), (333, 0), (333, 200), (0, 200)]), 1: (333, [(333, 0), (666, 0), (666, 200), (333, 200)]), 2: (334, [(666, 0), (1000, 0), (1000, 200), (666, 200)])}
+    beside = [(r.n, r.x_mm, r.y_mm) for r in place.follow(line, "path", 500, -100).orderBy("n").collect()]
+    assert beside == [(0, 0, -100), (1, 500, -100), (2, 1000, -100)]
