@@ -62,7 +62,7 @@ class Coder:
         self.limit = (LOW >> np.uint64(self.bits) << WORD) * freq
         self.symbols: np.ndarray | None = None
 
-    def encode(self, ids: np.ndarray, lanes: int = 1024, every: int = 128) -> bytes:
+    def encode(self, ids: np.ndarray, lanes: int = 2048, every: int = 64) -> bytes:
         n = len(ids)
         lanes = max(1, min(lanes, n))
         steps = -(-n // lanes)
@@ -120,8 +120,12 @@ class Coder:
 _RAW = "part int, block int, first long, doc_ids array<long>, doc_lens array<long>, ids binary"
 
 
-def _raw_blocks(path: str, dtype: str, end_id: int, block_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents of a part, in order, as blocks of whole documents with some ``block_ids`` ids."""
+#: The number of a part's last row, which has its ids' counts in place of documents.
+COUNTS = -1
+
+
+def _raw_blocks(path: str, dtype: str, end_id: int, block_ids: int, vocabulary: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents of a part, in order, as blocks of whole documents with some ``block_ids`` ids; then a row of counts."""
     width, end = np.dtype(dtype).itemsize, np.array([end_id], dtype).tobytes()
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("ids", pa.binary())])
 
@@ -129,9 +133,15 @@ def _raw_blocks(path: str, dtype: str, end_id: int, block_ids: int) -> Callable[
         tokenizer, part = encoder(path, dtype), TaskContext.get().partitionId()
         block, first, size = 0, 0, 0
         docs, lens, own = [], [], []
+        counts = np.zeros(vocabulary, np.int64)
+
+        def row(*values: object) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema)], schema=schema)
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, block, first, docs, lens, b"".join(own)), schema)], schema=schema)
+            data = b"".join(own)
+            counts[:] += np.bincount(np.frombuffer(data, dtype), minlength=vocabulary)
+            return row(part, block, first, docs, lens, data)
 
         for batch in sliced(batches, "text"):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -146,18 +156,8 @@ def _raw_blocks(path: str, dtype: str, end_id: int, block_ids: int) -> Callable[
                     docs, lens, own = [], [], []
         if docs:
             yield made()
-
-    return run
-
-
-def _counts(dtype: str, vocabulary: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for x in batch.column("ids"):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=vocabulary)
         seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"id": seen, "n": counts[seen]})
+        yield row(part, COUNTS, 0, seen, counts[seen], b"")
 
     return run
 
@@ -188,15 +188,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     spark = docs.sparkSession
     ordered = documents(docs).repartitionByRange(parallelism(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    raw = materialize(ordered.mapInArrow(_raw_blocks(place, dtype, end_id, block_ids), _RAW), "ids")
-    # One row an id of the vocabulary at most.
-    counted = raw.select("ids").mapInArrow(_counts(dtype, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    raw = materialize(ordered.mapInArrow(_raw_blocks(place, dtype, end_id, block_ids, vocabulary), _RAW), "ids")
+    own = raw.where(F.col("block") == COUNTS).select(F.explode(F.arrays_zip("doc_ids", "doc_lens")).alias("c"))
+    counted = own.groupBy(F.col("c.doc_ids").alias("id")).agg(F.sum("c.doc_lens").alias("n")).collect()  # a row an id of the vocabulary at most
     counts = np.zeros(vocabulary, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
     freq = quantize(counts, bits)
     spark.createDataFrame([(bits, freq.tolist(), end_id)], "bits int, freq array<long>, end_id long").coalesce(1).write.parquet(f"{path}/frequencies")
-    raw.mapInArrow(_coded(dtype, freq, bits), "part int, block int, first long, n_ids long, doc_ids array<long>, doc_lens array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.where(F.col("block") != COUNTS).mapInArrow(_coded(dtype, freq, bits), "part int, block int, first long, n_ids long, doc_ids array<long>, doc_lens array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
     drop_table(raw)
     blocks = spark.read.parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
