@@ -161,9 +161,11 @@ def set_items(places: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def smooth(points: list[tuple[int, int]], step: int = 250) -> list[tuple[int, int]]:
-    """A centripetal Catmull-Rom curve through points (Yuksel, Schaefer and Keyser, 2011), as a polyline on the lattice that keeps them."""
+    """A centripetal Catmull-Rom curve through points (Yuksel, Schaefer and Keyser, 2011), as a polyline on the lattice that keeps them;
+    of points that repeat one after another, one stays."""
+    points = [p for k, p in enumerate(points) if not k or p != points[k - 1]]
     if len(points) < 3:
-        return list(points)
+        return points
     p = np.array([2 * np.array(points[0]) - points[1], *points, 2 * np.array(points[-1]) - points[-2]], float)
     knots = np.append(0.0, np.cumsum(np.sqrt(np.hypot(*np.diff(p, axis=0).T))))
     out = [points[0]]

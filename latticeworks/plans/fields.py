@@ -116,12 +116,14 @@ def field_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.changed_region(old, new, 8)
 
 
-_ENTRIES = "SELECT l_partkey AS post, l_orderkey * 10000 + l_suppkey * 10 + l_linenumber AS ord, l_quantity AS v, l_discount AS m, CAST(l_linenumber AS BIGINT) AS material FROM lineitem WHERE l_partkey < 300"
+_ENTRIES = "SELECT l_partkey AS post, l_orderkey * 10000 + l_suppkey * 10 + l_linenumber AS ord, min(l_quantity) AS v, min(l_discount) AS m, CAST(min(l_linenumber) AS BIGINT) AS material FROM lineitem WHERE l_partkey < 300 GROUP BY 1, 2"
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").where("l_partkey < 300")
-    return l.select(F.col("l_partkey").alias("post"), (F.col("l_orderkey") * 10000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_quantity").alias("v"), F.col("l_discount").alias("m"), F.col("l_linenumber").cast("long").alias("material"))
+    order = F.col("l_orderkey") * 10000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
+    return l.groupBy(F.col("l_partkey").alias("post"), order.alias("ord")).agg(F.min("l_quantity").alias("v"), F.min("l_discount").alias("m"), F.min("l_linenumber").cast("long").alias("material"))
+
 
 
 @query(f"WITH e AS ({_ENTRIES}) SELECT post, round(list_reduce(list_prepend({{'v': CAST(0 AS DOUBLE), 'm': CAST(0 AS DOUBLE)}}, list({{'v': v, 'm': m}} ORDER BY ord)), lambda a, b: {{'v': (1 - b.m) * a.v + b.m * b.v, 'm': CAST(0 AS DOUBLE)}}).v, 6) AS value FROM e GROUP BY post")

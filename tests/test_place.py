@@ -63,7 +63,7 @@ def test_smooth_keeps_written_points():
     curve = place.smooth(points)
     assert [p for p in curve if p in points] == points and len(curve) > 40
     assert all(math.dist(a, b) < 400 for a, b in zip(curve, curve[1:]))
-    assert place.smooth(points[:2]) == points[:2]
+    assert place.smooth(points[:2]) == points[:2] and place.smooth([points[0], *points]) == curve
     assert place.smooth([(0, 0), (1000, 0), (2000, 0)]) == [(x, 0) for x in range(0, 2001, 250)]
 
 
