@@ -21,8 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import documents, drop_table, materialize, parallelism, sliced
@@ -130,7 +129,7 @@ def _raw_blocks(path: str, dtype: str, end_id: int, block_ids: int, vocabulary:
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part = encoder(path, dtype), TaskContext.get().partitionId()
+        tokenizer, part = encoder(path, dtype), 0
         block, first, size = 0, 0, 0
         docs, lens, own = [], [], []
         counts = np.zeros(vocabulary, np.int64)
@@ -144,7 +143,12 @@ def _raw_blocks(path: str, dtype: str, end_id: int, block_ids: int, vocabulary:
             return row(part, block, first, docs, lens, data)
 
         for batch in sliced(batches, "text"):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc, text, own_part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part"))):
+                if own_part != part:
+                    if docs:
+                        yield made()
+                    part, block, first, size = own_part, 0, 0, 0
+                    docs, lens, own = [], [], []
                 ids = tokenizer.ids(text) + end
                 docs.append(doc)
                 own.append(ids)
@@ -175,6 +179,24 @@ def _coded(dtype: str, freq: np.ndarray, bits: int) -> Callable[[Iterator[pa.Rec
     return run
 
 
+def _slot(column: Column, cuts: list[float], first: int = 0) -> Column:
+    """How many of the sorted cuts a value is above, as a tree of comparisons."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(column <= cuts[mid], _slot(column, cuts[:mid], first)).otherwise(_slot(column, cuts[mid + 1 :], first + mid + 1))
+
+
+def _in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text and part: parts hold ranges of ids, null ids first, and lie whole in a task, in order. The ranges come from the ids
+    alone, so texts are read once."""
+    own, tasks = documents(docs), parallelism(docs)
+    slots = min(4 * tasks, 4096)
+    cuts = sorted(set(own.approxQuantile("doc_id", [k / slots for k in range(1, slots)], 1 / (4 * slots))))
+    part = F.when(F.col("doc_id").isNull(), -1).otherwise(_slot(F.col("doc_id"), cuts))
+    return own.withColumn("part", part.cast("int")).repartition(tasks, "part").sortWithinPartitions("part", "doc_id", F.xxhash64("text"))
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1 << 19, bits: int = 20) -> None:
     """Encode each text, append ``end_id``, and write all ids to a store at ``path``, in ascending order of doc_id.
 
@@ -187,8 +209,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids
     vocabulary = max(Tokenizer.from_file(place).get_vocab_size(), end_id + 1)
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     spark = docs.sparkSession
-    ordered = documents(docs).repartitionByRange(parallelism(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    raw = materialize(ordered.mapInArrow(_raw_blocks(place, dtype, end_id, block_ids, vocabulary), _RAW), "ids")
+    raw = materialize(_in_order(docs).mapInArrow(_raw_blocks(place, dtype, end_id, block_ids, vocabulary), _RAW), "ids")
     own = raw.where(F.col("block") == COUNTS).select(F.explode(F.arrays_zip("doc_ids", "doc_lens")).alias("c"))
     counted = own.groupBy(F.col("c.doc_ids").alias("id")).agg(F.sum("c.doc_lens").alias("n")).collect()  # a row an id of the vocabulary at most
     counts = np.zeros(vocabulary, np.int64)
