@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, drop_table, materialize, parallelism, sliced
+from ._common import documents, drop_table, materialize, parallelism, release, sliced
 from .tokens import encoder, local_path
 
 MAGIC, HEAD = b"LWR1", struct.Struct("<4s5I")
@@ -210,6 +210,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     spark = docs.sparkSession
     raw = materialize(_in_order(docs).mapInArrow(_raw_blocks(place, dtype, end_id, block_ids, vocabulary), _RAW), "ids")
+    release(spark)
     own = raw.where(F.col("block") == COUNTS).select(F.explode(F.arrays_zip("doc_ids", "doc_lens")).alias("c"))
     counted = own.groupBy(F.col("c.doc_ids").alias("id")).agg(F.sum("c.doc_lens").alias("n")).collect()  # a row an id of the vocabulary at most
     counts = np.zeros(vocabulary, np.int64)
