@@ -4,7 +4,8 @@ Passages are two neighbouring chunks of a document's words, a chunk being at lea
 run of that many words is inside a passage. Scores are shares of the item's own, so one threshold serves all items. Bounds by block
 maxima are added up for all chunks of a batch at once; only blocks of items that a bound lets through are scored, and only items
 at or over the threshold are verified: shares of the word n-grams of the item's question (all but its last sentence), of its
-answer (the last sentence), and of both, that the passage has.
+answer (the last sentence), and of both, that the passage has. Questions and answers of enough words are in an index of their own, by
+shares of their own scores, so that a passage with a whole question or answer is found however little of the item that is.
 
 An index is of a bounded number of items (a shard, which also gives the counts that weigh its words), and a pass over the documents takes
 a bounded number of shards along: 8,192 items by default, and more items in more passes.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import documents, mix, sliced, utf8
-from .bm25 import build
+from .bm25 import Index, build
 from .words import BASE, SHINGLE, Words, words
 
 _SENTENCE = re.compile(r"[.!?\n]+\s*(?=\S)")
@@ -47,7 +48,7 @@ class Item:
     def __init__(self, item_id: int, text: str, size: int) -> None:
         question, answer = split(text)
         own = [_hashes(x.lower()) for x in (text, question, answer)]
-        self.item_id, self.words = item_id, own[0]
+        self.item_id, self.words, self.own = item_id, own[0], own
         self.sets = [(min(size, len(w)), np.unique(grams(w, min(size, len(w))))) for w in own]
 
     def overlaps(self, passage: np.ndarray) -> list[float]:
@@ -59,38 +60,53 @@ def _hashes(text: str) -> np.ndarray:
 
 
 class Shard:
-    """Some items with their index."""
+    """Some items with their index, and the index of their parts: of (item, 1 for the question or 2 for the answer)."""
 
-    def __init__(self, items: list[Item], block: int) -> None:
+    def __init__(self, items: list[Item], block: int, part_words: int) -> None:
         self.items, self.index = items, build([x.words for x in items], block, True)
-
-    def search(self, w: Words, chunk: int, threshold: float, overlap: float) -> Iterator[tuple[int, Item, list[float]]]:
-        """Document (its row), item, score and overlaps, for each passage and item over both thresholds."""
-        index, terms, bar = self.index, max(len(self.index.terms), 1), threshold * 0.999
-        count = np.diff(w.first)
-        chunks = -(-count // chunk)
-        first = np.append(0, np.cumsum(chunks))
-        where, term = index.find(w.hashes)
-        doc = w.doc[where]
-        pair = np.unique((first[doc] + (where - w.first[doc]) // chunk) * terms + term)
-        own, term = pair // terms, pair % terms
-        bound = index.bounds(own, term, int(first[-1]) + 1)
-        of = np.repeat(np.arange(len(count)), chunks)
-        after = np.append(of[1:] == of[:-1], False) if len(of) else np.empty(0, bool)
-        total = bound[:-1] + bound[1:] * after[:, None]
-        total[~after & np.append(False, after)[:-1]] = 0  # the last chunk is in the passage before
-        for c in np.flatnonzero((total >= bar).any(axis=1)):
-            lo, hi = np.searchsorted(own, [c, c + 1 + after[c]])
-            score = index.scores(np.unique(term[lo:hi]))
-            d = int(of[c])
-            start = w.first[d] + (c - first[d]) * chunk
-            for k in np.flatnonzero((score >= threshold) & np.repeat(total[c] >= bar, index.block)[: index.n]):
-                shares = self.items[k].overlaps(w.hashes[start : min(start + 2 * chunk, w.first[d + 1])])
+        self.parts = [(k, p) for k, x in enumerate(items) for p in (1, 2) if part_words <= len(x.own[p]) < len(x.words)]
+        self.part_index = build([items[k].own[p] for k, p in self.parts], block, True)
+
+    def search(self, w: Words, chunk: int, threshold: float, overlap: float, part_overlap: float) -> Iterator[tuple[int, Item, list[float]]]:
+        """Document (its row), item, score and overlaps, for each passage and item that is, or has a part that is, over both thresholds."""
+        for d, passage, score, over in _passages(self.index, w, chunk, threshold):
+            for k in over:
+                shares = self.items[k].overlaps(passage)
                 if shares[0] >= overlap:
                     yield d, self.items[k], [float(score[k]), *shares]
-
-
-def _searched(shards: list[Shard], threshold: float, overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        for d, passage, _, over in _passages(self.part_index, w, chunk, threshold) if self.parts else ():
+            for k, p in (self.parts[n] for n in over):
+                shares = self.items[k].overlaps(passage)
+                if shares[p] >= part_overlap:
+                    yield d, self.items[k], [float(self.index.scores(np.unique(self.index.find(passage)[1]))[k]), *shares]
+
+
+def _passages(index: Index, w: Words, chunk: int, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Document (its row), words, scores, and what is over the threshold, for each passage that can have some."""
+    terms, bar = max(len(index.terms), 1), threshold * 0.999
+    count = np.diff(w.first)
+    chunks = -(-count // chunk)
+    first = np.append(0, np.cumsum(chunks))
+    where, term = index.find(w.hashes)
+    doc = w.doc[where]
+    pair = np.unique((first[doc] + (where - w.first[doc]) // chunk) * terms + term)
+    own, term = pair // terms, pair % terms
+    bound = index.bounds(own, term, int(first[-1]) + 1)
+    of = np.repeat(np.arange(len(count)), chunks)
+    after = np.append(of[1:] == of[:-1], False) if len(of) else np.empty(0, bool)
+    total = bound[:-1] + bound[1:] * after[:, None]
+    total[~after & np.append(False, after)[:-1]] = 0  # the last chunk is in the passage before
+    for c in np.flatnonzero((total >= bar).any(axis=1)):
+        lo, hi = np.searchsorted(own, [c, c + 1 + after[c]])
+        score = index.scores(np.unique(term[lo:hi]))
+        d = int(of[c])
+        start = w.first[d] + (c - first[d]) * chunk
+        over = np.flatnonzero((score >= threshold) & np.repeat(total[c] >= bar, index.block)[: index.n])
+        if len(over):
+            yield d, w.hashes[start : min(start + 2 * chunk, w.first[d + 1])], score, over
+
+
+def _searched(shards: list[Shard], threshold: float, overlap: float, part_overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     chunk = max(64, max(len(x.words) for s in shards for x in s.items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +114,7 @@ def _searched(shards: list[Shard], threshold: float, overlap: float) -> Callable
             w = words(*utf8(batch.column("text")))
             for s in shards:
                 best: dict[tuple[int, int], tuple[Item, list[float]]] = {}
-                for d, item, values in s.search(w, chunk, threshold, overlap):
+                for d, item, values in s.search(w, chunk, threshold, overlap, part_overlap):
                     before = best.get((d, id(item)), (item, values))[1]
                     best[d, id(item)] = item, list(map(max, before, values))
                 if best:
@@ -120,10 +136,13 @@ def _groups(items: Iterator[Item], most: int, words: int) -> Iterator[list[Item]
         yield held
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.3, size: int = SHINGLE, block: int = 2, shard: int = 512, shard_words: int = 200_000, shards: int = 16) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.3, size: int = SHINGLE, block: int = 2, shard: int = 512, shard_words: int = 200_000, shards: int = 16, part_words: int = 8, part_overlap: float = 0.5) -> DataFrame:
     """One row for each document and item it gives away: doc_id, item_id, score (BM25 by the best passage, as a share of the
     item's own), overlap, question_overlap, answer_overlap (shares of n-grams of ``size`` words).
 
+    An item is given away by a passage that reaches ``threshold`` of its score and ``overlap`` of its n-grams, or, of its question or
+    answer if that has ``part_words`` words and more, ``threshold`` of the part's own score and ``part_overlap`` of its n-grams.
+
     docs: doc_id, text; benchmark: item_id, text. A null text is an empty one, and neither gives away nor can be. A null id is
     returned as it is; rows of equal doc_id are searched each by itself, and give equal rows if their texts are equal. An item
     that repeats is found as often. An empty table gives no rows. Items with fewer words than ``size`` are compared whole. Other columns are left out.
@@ -134,6 +153,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
     out = docs.sparkSession.createDataFrame([], shape)
     items = (x for x in (Item(r["item_id"], r["text"], size) for r in rows.toLocalIterator()) if len(x.words))
     made = _groups(items, shard, shard_words)
-    while group := [Shard(x, block) for x in itertools.islice(made, shards)]:
-        out = out.unionByName(own.mapInArrow(_searched(group, threshold, overlap), shape))
+    while group := [Shard(x, block, part_words) for x in itertools.islice(made, shards)]:
+        out = out.unionByName(own.mapInArrow(_searched(group, threshold, overlap, part_overlap), shape))
     return out

@@ -359,6 +359,20 @@ def test_leaks(spark, data, docs, odd, empty, rows):
     assert leaks(empty, bench).count() == leaks(table, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_a_part(spark):
+    """A whole question or a whole answer gives an item away however little of the item it is, and a few words don't."""
+    said = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    parts = {1: (said("qa", 9), said("aa", 60)), 2: (said("qb", 60), said("ab", 9)), 3: (said("qc", 40), said("ac", 5)), 4: (said("qd", 100), said("ad", 8))}
+    bench = spark.createDataFrame([(i, f"{q}. {a}.") for i, (q, a) in parts.items()], "item_id long, text string")
+    around = [said("x", 300), said("y", 90)]
+    texts = {10 * i + p: f"{around[0]} {part} {around[1]}" for i, own in parts.items() for p, part in enumerate(own, 1)} | {99: " ".join(around), 98: f"{around[0]} {said('aa', 7)}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks(docs, bench).collect()}
+    assert set(got) == {(11, 1), (12, 1), (21, 2), (22, 2), (31, 3), (41, 4), (42, 4)}
+    assert got[11, 1].question_overlap == got[22, 2].answer_overlap == got[42, 4].answer_overlap == 1.0
+    assert got[11, 1].score < 0.5 and got[11, 1].overlap < 0.3 and got[42, 4].score < 0.5
+
+
 # 9
 
 
