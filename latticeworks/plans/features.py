@@ -30,7 +30,7 @@ def region_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def street_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9, V8: what lies within a width of each path, as an area and a number of rings."""
-    paths = vertices(spark, sf_dir).where("path < 200").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "x_mm", "y_mm"))).alias("points")).where("size(points) > 1")
+    paths = vertices(spark, sf_dir).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "x_mm", "y_mm"))).alias("points")).where("size(points) > 1")
 
     def run(batches):
         import pandas as pd
@@ -50,7 +50,7 @@ def network_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3, V5, Q12: paths cut where they meet, and the areas between them."""
     from ..operators.shapes import faces
 
-    paths = vertices(spark, sf_dir).where("path < 400").select((F.floor(F.col("path") / 20)).alias("town"), "path", "seq", "x_mm", "y_mm")
+    paths = vertices(spark, sf_dir).select((F.floor(F.col("path") / 20)).alias("town"), "path", "seq", "x_mm", "y_mm")
     towns = paths.groupBy("town").agg(F.array_sort(F.collect_list(F.struct("path", "seq", "x_mm", "y_mm"))).alias("points"))
 
     def run(batches):

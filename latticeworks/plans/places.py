@@ -274,7 +274,7 @@ def run_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def run_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members with points, offset to the left, and bearings."""
-    lines = spatial.segments(vertices(spark, sf_dir).where("path < 2000"), "path", "seq")
+    lines = spatial.segments(vertices(spark, sf_dir), "path", "seq")
     return place.run_members(lines, "path", spacing=30_000, ends="both", offset=500)
 
 
@@ -289,4 +289,4 @@ def set_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def smooth_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: curves through the vertices of paths."""
-    return place.smooth_paths(vertices(spark, sf_dir).where("path < 300"), "path", "seq", 5000)
+    return place.smooth_paths(vertices(spark, sf_dir), "path", "seq", 5000)

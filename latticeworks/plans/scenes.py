@@ -104,14 +104,14 @@ def settled_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def frontage_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells along the left of paths, as rings."""
-    lines = spatial.segments(vertices(spark, sf_dir).where("path < 500"), "path", "seq")
+    lines = spatial.segments(vertices(spark, sf_dir), "path", "seq")
     return place.cells(lines, "path", 12_000, 8000).select("path", "k", "frontage", F.get("ring", F.lit(2))["x"].alias("far_x"), F.get("ring", F.lit(2))["y"].alias("far_y"))
 
 
 @query()
 def followed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths written beside other paths."""
-    return place.follow(spatial.segments(vertices(spark, sf_dir).where("path < 500"), "path", "seq"), "path", 10_000, -1500)
+    return place.follow(spatial.segments(vertices(spark, sf_dir), "path", "seq"), "path", 10_000, -1500)
 
 
 @query(sql("WITH RECURSIVE g AS (SELECT i, j, value FROM field WHERE i < 12 AND j < 10), s AS (SELECT DISTINCT value AS h FROM g), r AS (SELECT h, i, j FROM s JOIN g ON value <= h AND (i IN (0, 11) OR j IN (0, 9)) UNION SELECT r.h, g.i, g.j FROM r JOIN g ON abs(g.i - r.i) <= 1 AND abs(g.j - r.j) <= 1 AND g.value <= r.h), f AS (SELECT i, j, min(h) AS filled FROM r GROUP BY i, j) SELECT i, j, CASE WHEN filled - value < 60 THEN filled ELSE value END AS value FROM f JOIN g USING (i, j)", "field").replace("WITH field", "WITH RECURSIVE field").replace(", RECURSIVE g", ", g"))
