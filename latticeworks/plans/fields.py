@@ -9,7 +9,7 @@ from ..functions import draws
 from ..functions.formula import Scope, compile_formula
 from ..operators import raster, relational
 from .registry import query
-from .views import field, points, sql, table
+from .views import field, ground, points, sql, table
 
 
 def _metres() -> Scope:
@@ -155,14 +155,13 @@ def flood_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def least_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cost of the cheapest way over 8 neighbours from a corner."""
-    f = field(spark, sf_dir).where("i < 16 and j < 12")
-    return raster.least_cost(f, (F.col("i") == 0) & (F.col("j") == 0)).select("i", "j", F.round("cost", 6).alias("cost"))
+    return raster.least_cost(ground(spark, sf_dir), (F.col("i") == 0) & (F.col("j") == 0)).select("i", "j", F.round("cost", 6).alias("cost"))
 
 
 @query()
 def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts upstream along steepest receivers."""
-    return raster.accumulate(field(spark, sf_dir))
+    return raster.accumulate(ground(spark, sf_dir))
 
 
 @query(sql("WITH n AS (SELECT a.i, a.j, b.i AS bi, b.j AS bj, (a.value - b.value) / CASE WHEN a.i <> b.i AND a.j <> b.j THEN sqrt(2.0) ELSE 1 END AS fall FROM field a JOIN field b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND b.value < a.value) SELECT i, j, bi, bj FROM n QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY fall DESC, bj, bi) = 1", "field"))
@@ -213,7 +212,7 @@ def basins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mask_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of where a field is above a level, for each zone of rows."""
-    f = field(spark, sf_dir).select(F.floor(F.col("j") / 8).alias("zone"), "i", "j", (F.col("value") - 600).alias("value"))
+    f = ground(spark, sf_dir).select(F.floor(F.col("j") / 8).alias("zone"), "i", "j", (F.col("value") - 600).alias("value"))
     return raster.outlines(f, "zone")
 
 

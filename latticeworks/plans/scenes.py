@@ -9,7 +9,7 @@ from ..functions.formula import Scope, compile_formula
 from ..operators import place, raster, spatial, terrain
 from .places import _SEGMENTS
 from .registry import query
-from .views import boxes, field, points, sites, sql, vertices
+from .views import boxes, field, ground, points, sites, sql, vertices
 
 
 @query(sql("SELECT 'hill.' || kind || id AS name, 1000 - y_mm AS x_mm, 500 + x_mm AS y_mm FROM points WHERE id < 400", "points"))
@@ -85,20 +85,20 @@ def made_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def eroded_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A step of uplift, stream-power incision along each basin's receivers, and diffusion."""
-    land = terrain.erode(field(spark, sf_dir), uplift=0.5, power=0.02, spread=0.1)
+    land = terrain.erode(ground(spark, sf_dir), uplift=0.5, power=0.02, spread=0.1)
     return land.select("i", "j", F.round("value", 6).alias("value"))
 
 
 @query()
 def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strahler's order and the steps to the pit, for each post."""
-    return terrain.strahler(field(spark, sf_dir))
+    return terrain.strahler(ground(spark, sf_dir))
 
 
 @query()
 def settled_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slopes over a repose relaxed, mass kept."""
-    return terrain.relax_slopes(field(spark, sf_dir), 300.0, 4).select("i", "j", F.round("value", 6).alias("value"))
+    return terrain.relax_slopes(ground(spark, sf_dir), 300.0, 4).select("i", "j", F.round("value", 6).alias("value"))
 
 
 @query()

@@ -36,11 +36,15 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("seq"), "l_partkey", "l_suppkey").groupBy("path", "seq").agg((F.min("l_partkey") * 7919 % EXTENT).alias("x_mm"), (F.min("l_suppkey") * 104729 % EXTENT).alias("y_mm"))
 
 
-def field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raster of 40 columns from parts: i, j, value (whole numbers, as doubles)."""
-    p = table(spark, sf_dir, "part").where("p_partkey between 1 and 1600")
+def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster of 40 columns from all parts, part 0 being in row -1: i, j, value (whole numbers, as doubles)."""
     k = F.col("p_partkey") - 1
-    return p.select((k % 40).alias("i"), F.floor(k / 40).alias("j"), (F.col("p_partkey") * 7919 % 997).cast("double").alias("value"))
+    return table(spark, sf_dir, "part").select(F.pmod(k, F.lit(40)).alias("i"), F.floor(k / 40).alias("j"), (F.col("p_partkey") * 7919 % 997).cast("double").alias("value"))
+
+
+def field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 rows of the ground, which are all that the SQL of the queries on them reads."""
+    return ground(spark, sf_dir).where("j between 0 and 39")
 
 
 #: The same views in SQL.

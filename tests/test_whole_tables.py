@@ -1,5 +1,7 @@
 """Queries without a SQL twin work on all rows of their tables."""
 
+import heapq
+import math
 import random
 
 import pytest
@@ -25,3 +27,53 @@ def test_far_paths_are_as_near_ones(spark, paths, name):
     shift = FAR // 20 if name == "network_areas" else FAR  # the first column is a path, or a town of 20
     near = sorted(r for r in got if r[0] < shift)
     assert near and sorted((r[0] - shift, *r[1:]) for r in got if r[0] >= shift) == near
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """A strip of 5 by 43 posts, beyond the 40 rows that SQL reads, and part 0 away from it."""
+    path = tmp_path_factory.mktemp("parts")
+    spark.createDataFrame([(40 * j + i + 1,) for i in range(5) for j in range(43)] + [(0,)], "p_partkey long").write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def heights():
+    return {(i, j): float((40 * j + i + 1) * 7919 % 997) for i in range(5) for j in range(43)} | {(39, -1): 0.0}
+
+
+def around(p, z):
+    return [q for x in (-1, 0, 1) for y in (-1, 0, 1) if (x or y) and (q := (p[0] + x, p[1] + y)) in z]
+
+
+def test_ways_over_all_posts(spark, parts):
+    z, cost, todo = heights(), {}, [(0.0, (0, 0))]
+    while todo:
+        c, p = heapq.heappop(todo)
+        if p not in cost:
+            cost[p] = c
+            for q in around(p, z):
+                heapq.heappush(todo, (c + (z[p] + z[q]) / 2 * (math.sqrt(2) if p[0] != q[0] and p[1] != q[1] else 1), q))
+    got = {(r.i, r.j): r.cost for r in catalogue.QUERIES["least_cost"](spark, parts).collect()}
+    assert got == pytest.approx(cost | {(39, -1): math.inf}, abs=1e-5)
+
+
+def test_flows_over_all_posts(spark, parts):
+    z = heights()
+    count = dict.fromkeys(z, 1)
+    for p in sorted(z, key=z.get, reverse=True):
+        lower = [((z[q] - z[p]) / (math.sqrt(2) if p[0] != q[0] and p[1] != q[1] else 1), q[1], q[0]) for q in around(p, z) if z[q] < z[p]]
+        if lower:
+            _, j, i = min(lower)
+            count[i, j] += count[p]
+    assert {(r.i, r.j): r.n for r in catalogue.QUERIES["flow_accumulation"](spark, parts).collect()} == count
+
+
+@pytest.mark.parametrize("name", ["eroded_land", "stream_orders", "settled_slopes"])
+def test_land_over_all_posts(spark, parts, name):
+    got = [(r.i, r.j) for r in catalogue.QUERIES[name](spark, parts).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(heights())
+
+
+def test_outlines_of_all_zones(spark, parts):
+    got = {r.zone for r in catalogue.QUERIES["mask_regions"](spark, parts).collect()}
+    assert got == {j // 8 for (_, j), v in heights().items() if v > 600}
