@@ -29,7 +29,7 @@ def region_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def street_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V9, V8: what lies within a width of each path, as an area and a number of rings."""
+    """V9: what lies within a width of each path, as an area and a number of rings."""
     paths = vertices(spark, sf_dir).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "x_mm", "y_mm"))).alias("points")).where("size(points) > 1")
 
     def run(batches):

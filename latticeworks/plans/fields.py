@@ -147,14 +147,14 @@ def last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("WITH RECURSIVE g AS (SELECT i, j, value FROM field WHERE i < 12 AND j < 10), s AS (SELECT DISTINCT value AS h FROM g), r AS (SELECT h, i, j FROM s JOIN g ON value <= h AND (i IN (0, 11) OR j IN (0, 9)) UNION SELECT r.h, g.i, g.j FROM r JOIN g ON abs(g.i - r.i) <= 1 AND abs(g.j - r.j) <= 1 AND g.value <= r.h) SELECT i, j, min(h) AS filled FROM r GROUP BY i, j", "field").replace("WITH field", "WITH RECURSIVE field").replace(", RECURSIVE g", ", g"))
 def flood_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each post raised to its spill over the rim."""
+    """Each post raised to its spill over the rim."""
     f = field(spark, sf_dir).where("i < 12 and j < 10")
     return raster.fill(f, F.col("i").isin(0, 11) | F.col("j").isin(0, 9)).select("i", "j", "filled")
 
 
 @query()
 def least_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cost of the cheapest way over 8 neighbours from a corner."""
+    """The cost of the cheapest way over 8 neighbours from a corner."""
     return raster.least_cost(ground(spark, sf_dir), (F.col("i") == 0) & (F.col("j") == 0)).select("i", "j", F.round("cost", 6).alias("cost"))
 
 
@@ -166,7 +166,7 @@ def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("WITH n AS (SELECT a.i, a.j, b.i AS bi, b.j AS bj, (a.value - b.value) / CASE WHEN a.i <> b.i AND a.j <> b.j THEN sqrt(2.0) ELSE 1 END AS fall FROM field a JOIN field b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND b.value < a.value) SELECT i, j, bi, bj FROM n QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY fall DESC, bj, bi) = 1", "field"))
 def flow_receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The steepest lower neighbour of each post."""
+    """The steepest lower neighbour of each post."""
     return raster.receivers(field(spark, sf_dir)).select("a.i", "a.j", F.col("b.i").alias("bi"), F.col("b.j").alias("bj"))
 
 

@@ -84,7 +84,7 @@ def made_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def eroded_land(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A step of uplift, stream-power incision along each basin's receivers, and diffusion."""
+    """A step of uplift, stream-power incision along each basin's receivers, and diffusion."""
     land = terrain.erode(ground(spark, sf_dir), uplift=0.5, power=0.02, spread=0.1)
     return land.select("i", "j", F.round("value", 6).alias("value"))
 
@@ -97,7 +97,7 @@ def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def settled_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slopes over a repose relaxed, mass kept."""
+    """L2: slopes over a repose relaxed, mass kept."""
     return terrain.relax_slopes(ground(spark, sf_dir), 300.0, 4).select("i", "j", F.round("value", 6).alias("value"))
 
 
