@@ -410,6 +410,20 @@ def test_search(spark, docs, odd, empty, rows, shard, monkeypatch):
 # 10
 
 
+@pytest.mark.parametrize("weight", [5e-7, 5e-10])
+def test_search_of_words_in_all_documents(spark, monkeypatch, weight):
+    """Words that all of a million or a billion documents have weigh next to nothing, and still find them."""
+    monkeypatch.setattr("latticeworks.llm.search.idf", lambda df, n: np.full(len(df), weight))
+    texts = [(k, "every page has these words") for k in range(14)] + [(20, "none of that"), (21, "every"), (22, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "every page has these words"), (2, "has"), (3, "absent"), (4, "that")], "doc_id long, text string")
+    found = collections.defaultdict(set)
+    for r in search(docs, asked, k=30).collect():
+        found[r.query_id].add(r.doc_id)
+    assert found == {1: {*range(14), 21}, 2: set(range(14)), 4: {20}}
+    assert sorted(r.doc_id for r in search(docs, asked, k=5).where("query_id = 2").collect()) == [0, 1, 2, 3, 4]
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1000, 70_000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
