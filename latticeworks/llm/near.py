@@ -145,16 +145,8 @@ def _verified(percent: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, recall: float = 0.9999, block: int = 512, block_bytes: int = 32 << 20) -> DataFrame:
-    """One row for each document: doc_id, class_id (the least doc_id that links lead to), n_links (documents it is linked with),
-    n_copies (documents of equal text, itself among them).
-
-    Documents are linked if their sets of ``size``-word shingles (runs of letters, digits and other non-ASCII characters,
-    lower-cased) have a Jaccard similarity of at least ``percent`` %, or their texts are equal. Texts with fewer words
-    have one shingle. docs: doc_id, text. A null text is an empty one; empty texts are copies of one another. Rows with a
-    null doc_id are documents, and rows that repeat a doc_id too; a class of null ids alone has a null id. An empty table
-    gives no rows. Other columns are left out.
-    """
+def _classes(docs: DataFrame, percent: int, size: int, recall: float, block: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key (a digest of the text) of each document; and key, doc_id (the least), copies, links, root (a key of its class) of each text."""
     bands, rows = banding(percent / 100, recall)
     own = documents(docs).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), F.lower("text").alias("text"))
     signed = materialize(own.mapInArrow(_signed(bands, rows, size), "doc_id long, key binary, bytes long, bands array<long>"), "signatures")
@@ -181,6 +173,41 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, rec
     root = root.unionByName(wide.select(F.col("root").alias("key"), "root").distinct())
     total = links.groupBy("key").agg(F.sum("links").alias("links")).join(root, "key", "left")
     rated = materialize(classes.join(total, "key", "left").select("key", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root")), "classes")
+    return signed, rated
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, recall: float = 0.9999, block: int = 512, block_bytes: int = 32 << 20) -> DataFrame:
+    """One row for each document: doc_id, class_id (the least doc_id that links lead to), n_links (documents it is linked with),
+    n_copies (documents of equal text, itself among them).
+
+    Documents are linked if their sets of ``size``-word shingles (runs of letters, digits and other non-ASCII characters,
+    lower-cased) have a Jaccard similarity of at least ``percent`` %, or their texts are equal. Texts with fewer words
+    have one shingle. docs: doc_id, text. A null text is an empty one; empty texts are copies of one another. Rows with a
+    null doc_id are documents, and rows that repeat a doc_id too; a class of null ids alone has a null id. An empty table
+    gives no rows. Other columns are left out.
+    """
+    signed, rated = _classes(docs, percent, size, recall, block, block_bytes)
     named = rated.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     every = rated.join(named, "root").select("key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     return signed.select("doc_id", "key").join(every, "key").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def first_of_each(docs: DataFrame, percent: int = 80, size: int = SHINGLE, recall: float = 0.9999, block: int = 512, block_bytes: int = 32 << 20) -> DataFrame:
+    """One row of ``docs`` of each class of ``near_duplicates``: of its least doc_id (null ids come last, then texts go by their digests). Of rows
+    equal in doc_id and text the one with the least other columns stays, so these must have an order. All columns stay.
+    """
+    signed, rated = _classes(docs, percent, size, recall, block, block_bytes)
+    least = rated.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("f")).select(F.col("f.doc_id").alias("of"), F.col("f.key").alias("of_key"))
+    met = signed.join(least, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    first = materialize(met.groupBy("of", "of_key").agg(F.count("*").alias("rows")), "first")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    keyed = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("key"))
+
+    def met_by(rows: DataFrame) -> DataFrame:
+        return keyed.join(rows, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
+
+    out = met_by(first.where("rows = 1").hint("merge")).select("whole.*")
+    repeated = first.where("rows > 1")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(met_by(repeated).groupBy("of", "of_key").agg(F.min("whole").alias("whole")).select("whole.*"))

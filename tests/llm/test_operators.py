@@ -461,3 +461,91 @@ def test_token_store(spark, docs, odd, empty, rows, block):
         for r in got:
             assert r.start == at and r.n_tokens * 4 == len(r.ids) and zlib.crc32(r.ids) == r.ids_crc32
             at += r.n_tokens
+
+
+def brute_leaks(rows, items, threshold=0.5, overlap=0.3, size=5, part_words=8, part_overlap=0.5):
+    """Every passage against every item, in plain loops."""
+    from latticeworks.llm.decontaminate import chunk_of, split
+
+    said = lambda t: WORD.findall((t or "").lower())
+    own = [(i, [said(x) for x in (t or "", *split(t or ""))]) for i, t in items if said(t)]
+    df = collections.Counter(w for _, p in own for w in set(p[0]))
+    n, mean = len(own), sum(len(p[0]) for _, p in own) / max(len(own), 1)
+
+    def impacts(words):
+        tf = collections.Counter(words)
+        raw = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(words) / mean)) for w, c in tf.items()}
+        return {w: x / sum(raw.values()) for w, x in raw.items()}
+
+    def share(words, passage):
+        k = min(size, len(words))
+        g, p = ({tuple(x[a : a + k]) for a in range(len(x) - k + 1)} for x in (words, passage))
+        return len(g & p) / len(g) if k else 0.0
+
+    out = []
+    for d, text in rows:
+        w = said(text)
+        for i, parts in own:
+            best = None
+            for k, part in enumerate(parts):
+                if k and not part_words <= len(part) < len(parts[0]):
+                    continue
+                c, weight = chunk_of(len(part)), impacts(part)
+                for a in range(0, max(len(w) - c, 1), c):
+                    passage = w[a : a + 2 * c]
+                    if sum(weight.get(x, 0) for x in set(passage)) < threshold - 1e-9:
+                        continue
+                    shares = [share(x, passage) for x in parts]
+                    if shares[k] >= (part_overlap if k else overlap):
+                        whole = impacts(parts[0])
+                        values = [sum(whole.get(x, 0) for x in set(passage)), *shares]
+                        best = list(map(max, best or values, values))
+            if best:
+                out.append((str(d), str(i), *(round(x, 6) for x in best)))
+    return sorted(out)
+
+
+def test_leaks_are_those_of_brute_force(spark, data, odd, rows):
+    """Equal rows, scores and overlaps, for shards of 1, 4 and 512 items, and passes of several."""
+    import random
+
+    rng = random.Random(4)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").limit(24).collect()]
+    items += [(100, " ".join(sentence(rng, 9) for _ in range(22))), (101, "One two. Three"), (102, None), (103, "!!"), (items[0][0], items[0][1]), (None, sentence(rng, 12) + " " + sentence(rng, 30))]
+    source = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(40).collect()]
+    source += [(r[0], r[1]) for r in rows[38:50]] + [(r[0], r[1]) for r in odd_rows()]
+    for i, (_, t) in enumerate(items):
+        w = (t or "").split(" ")
+        keep = [x for x in w if rng.random() < 0.95]
+        source += [(500 + i, (rows[i][1] or "") + " " + (t or "")), (600 + i, " ".join(w[: len(w) // 2])), (700 + i, (rows[i][1] or "") + " " + " ".join(keep) + "\n" + (rows[47][1] if i % 3 == 0 else ""))]
+    table = spark.createDataFrame(source, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    want = brute_leaks(source, items)
+    assert len(want) > 40 and any(x[2] < 0.5 for x in want)
+    for shard, shards, block in ((512, 16, 4), (4, 2, 1), (1, 3, 4)):
+        got = sorted((str(r.doc_id), str(r.item_id), *(round(x, 6) for x in r[2:])) for r in leaks(table, bench, shard=shard, shards=shards, block=block).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert all(abs(a - b) < 2e-6 for x, y in zip(got, want) for a, b in zip(x[2:], y[2:]))
+
+
+def test_clean_judges_rows_by_themselves(spark, data):
+    from latticeworks.llm.decontaminate import clean
+
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    text = items.first().text
+    rows = [(1, f"and {text}", "a"), (1, "another page", "b"), (None, text, "c"), (None, "fine", "d"), (2, None, "e"), (2, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lower string")
+    assert sorted(r["lower"] for r in clean(docs, items).collect()) == ["b", "d", "e", "f"]
+    assert clean(docs, items).columns == docs.columns and clean(docs, items, shard=3, shards=2).count() == 4
+    assert clean(docs.limit(0), items).count() == 0 and clean(docs, items.limit(0)).count() == 6
+
+
+def test_first_of_each_class(spark, rows):
+    """A row of each class stays, whatever ids repeat or are missing."""
+    from latticeworks.llm.near import first_of_each
+
+    t, other = rows[8][1], rows[9][1]
+    odd = [(1, t, "a"), (1, other, "b"), (0, t, "c"), (None, other, "d"), (None, rows[10][1], "e"), (None, rows[10][1], "f"), (5, None, "g"), (5, "", "h"), (5, "", "h"), (7, rows[12][1], "i"), (None, rows[15][1], "j"), (None, rows[16][1], "k")]
+    got = first_of_each(spark.createDataFrame(odd, "doc_id long, text string, of string"))
+    assert sorted(r["of"] for r in got.collect()) == ["b", "c", "e", "g", "i", "j", "k"] and got.columns == ["doc_id", "text", "of"]
+    assert first_of_each(spark.createDataFrame(odd, "doc_id long, text string, of string").limit(0)).count() == 0
