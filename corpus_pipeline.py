@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; run() writes each stage's rows as Parquet to the shared
 folder and reads them again as the next one's docs.
+
+Nulls and repeats: a null text is an empty one, in every stage. Rows are judged one by one, not by their ids, so rows that share a doc_id, or have
+none, don't go or stay with one another; of rows that are equal in all columns the near duplicates' stage keeps one, like of any class. Empty tables
+give no rows; columns other than those of documents are left out.
 """
 
 from __future__ import annotations
@@ -13,9 +17,9 @@ from pyspark.sql import functions as F
 
 from latticeworks.llm import quality
 from latticeworks.llm._common import materialize, table
-from latticeworks.llm.decontaminate import leaks
+from latticeworks.llm.decontaminate import clean
 from latticeworks.llm.lines import drop_boilerplate
-from latticeworks.llm.near import near_duplicates
+from latticeworks.llm.near import first_of_each
 from latticeworks.llm.packing import pack
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,15 +39,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the least id."""
-    others = near_duplicates(docs).where("doc_id != class_id").select("doc_id")
-    return docs.select(COLUMNS).join(others.distinct().hint("merge"), "doc_id", "left_anti").select(COLUMNS)
+    """One document of each class of near duplicates: the one with the least id, and of rows that are equal one."""
+    return first_of_each(docs.select(COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that give no benchmark item away."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(materialize(found, "leaks"), "doc_id", "left_anti").select(COLUMNS)
+    return clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
