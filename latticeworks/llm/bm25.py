@@ -20,8 +20,14 @@ def impacts(tf: np.ndarray, length: np.ndarray, mean_length: float, weight: np.n
 
 def expand(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions at[k] .. at[k + 1] - 1 for each key, one after another, and their number for each."""
-    size = at[keys + 1] - at[keys]
-    return np.repeat(at[keys] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()), size
+    first = at[keys]
+    size = at[keys + 1] - first
+    some = np.flatnonzero(size)
+    steps = np.ones(int(size.sum()), np.int64)
+    if len(some):
+        first, own = first[some], size[some]
+        steps[np.append(0, np.cumsum(own)[:-1])] = first - np.append(0, first[:-1] + own[:-1] - 1)
+    return np.cumsum(steps, out=steps), size
 
 
 class Blocks:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, drop_table, materialize, mix, release, sliced, utf8
+from ._common import documents, materialize, mix, release, sliced, trim, utf8
 from .blobs import pack, unpack, xxhash_long
 from .words import powers
 
@@ -165,6 +165,7 @@ def _by_place(batches: Iterator[pa.RecordBatch], single: Callable[[list[bytes]],
             held.append(blob)
     if held:
         yield from (_batch([x]) for x in single(held))
+    trim()
 
 
 def _find_candidates(doc_places: int, often: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -496,7 +497,7 @@ def _with_texts(own: DataFrame, blobs: DataFrame, places: int) -> DataFrame:
 def _frames_sent(docs: DataFrame, length: int, anchors_a_bucket: int, bytes_a_place: int) -> tuple[DataFrame, DataFrame, int]:
     """Texts, frames dealt to buckets, number of places."""
     own, bits, places, often = _plan(docs, anchors_a_bucket, bytes_a_place)
-    tasks = max(8, ((1 << bits) + places) // 8)  # some eight buckets a task, however large the input
+    tasks = max(8, ((1 << bits) + places) // 24)  # some 24 buckets and places a task, one at a time in memory, however large the input
     dealt = own.select("doc", "text").mapInArrow(_find_anchors(length, bits, places), _SENT).repartition(tasks, "kind", "place").sortWithinPartitions("kind", "place")
     candidates = materialize(dealt.mapInArrow(_find_candidates(places, often), _SENT), "candidates")
     del dealt

@@ -549,3 +549,46 @@ def test_first_of_each_class(spark, rows):
     got = first_of_each(spark.createDataFrame(odd, "doc_id long, text string, of string"))
     assert sorted(r["of"] for r in got.collect()) == ["b", "c", "e", "g", "i", "j", "k"] and got.columns == ["doc_id", "text", "of"]
     assert first_of_each(spark.createDataFrame(odd, "doc_id long, text string, of string").limit(0)).count() == 0
+
+
+def test_search_skips_blocks_and_counts_null_ids(spark):
+    """Blocks whose bound is under a query's bar stay closed; rows without an id count in the statistics and aren't returned."""
+    import pyarrow as pa
+
+    from latticeworks.llm import search as module
+
+    rng = np.random.default_rng(5)
+    own = [" ".join(f"{'a' if k < 500 else 'b'}{x}" for x in np.minimum(rng.zipf(1.2, 40 if k < 500 else 9), 3000)) + " a1" for k in range(1500)]  # another topic has short texts
+    own[7] = own[300]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int64()), pa.array(own), pa.array([0] * len(own), pa.int32())], names=["doc_id", "text", "near"])
+    shards = list(module._index(8192, 1 << 30)(iter([batch])))
+    (asked,) = module._query_terms(iter([batch.slice(0, 40)]))
+    queries = module.Queries.of([(i, bytes(t)) for i, t in zip(asked.column(0).to_pylist(), asked.column(1).to_pylist())])
+    count = np.zeros(len(queries.terms))
+    for df in module._frequencies(queries.terms)(iter(shards)):
+        count[df["term"].to_numpy()] = df["df"].to_numpy()
+    queries.weight = module.idf(count, len(own))
+    mean = shards[0]["words"][0].as_py() / len(own)
+
+    def found(home):
+        counts = [0, 0]
+        out = {}
+        for rows in module._searched(queries, mean, 2, home, lambda a, b: counts.__setitem__(slice(None), [counts[0] + a, counts[1] + b]))(iter(shards)):
+            for q, d, s in zip(*(rows[c].to_pylist() for c in ("query_id", "doc_id", "score"))):
+                out.setdefault(q, []).append((-s, d))
+        return {q: sorted(x) for q, x in out.items()}, counts
+
+    first, _ = found(True)
+    for k, q in enumerate(queries.ids.tolist()):
+        queries.bar[k] = -first[q][1][0]
+    again, (opened, blocks) = found(False)
+    assert again == first and again[7][0][0] == again[7][1][0] and {again[7][0][1], again[7][1][1]} == {7, 300}
+    assert opened < 0.7 * blocks
+    rows = [(k if k % 5 else None, t) for k, t in enumerate(own[:60])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in search(docs, docs.where("doc_id % 4 = 1"), k=3).collect())
+    numbered = [(k if k % 5 else 1000 + k, t) for k, t in enumerate(own[:60])]
+    want = [x for x in brute_search(numbered, {r[0] for r in rows if r[0] is not None and r[0] % 4 == 1}, 60) if x[2] < 1000]
+    ranked = collections.Counter()
+    top = [(q, ranked[q], d, round(s, 5)) for q, _, d, s in want if not ranked.update([q]) and ranked[q] <= 3]
+    assert [x[:3] for x in got] == [x[:3] for x in top] and all(abs(a[3] - b[3]) < 2e-5 for a, b in zip(got, top))
