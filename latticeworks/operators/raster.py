@@ -5,12 +5,14 @@ Neighbour values come from windows over rows and columns of the grid, which are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import drop_table, materialize
-from .graph import relax
 from .shapes import mask_rings
 
 
@@ -64,21 +66,72 @@ def neighbours(field: DataFrame, around: int = 8) -> DataFrame:
     return met.withColumn("diagonal", (F.col("a.i") != F.col("b.i")) & (F.col("a.j") != F.col("b.j")))
 
 
-def fill(field: DataFrame, rim: Column) -> DataFrame:
+def with_rim(field: DataFrame) -> DataFrame:
+    """``field`` with rim: whether a post lacks one of 8 neighbours."""
+    inner = neighbours(field).groupBy("a").agg(F.count("*").alias("n")).where("n = 8").select(F.col("a.i").alias("i"), F.col("a.j").alias("j"), F.lit(False).alias("inner"))
+    return field.join(inner, ["i", "j"], "left").withColumn("rim", F.col("inner").isNull()).drop("inner")
+
+
+def settle(field: DataFrame, through: Callable[[np.ndarray, np.ndarray, np.ndarray, float], np.ndarray], side: int = 256) -> DataFrame:
+    """i, j, now: the least value each post can have, its own or one that comes from a neighbour by ``through`` (the neighbour's value, its height,
+    the post's height, the step's length), which must not be under the neighbour's. field: i, j, value (height), now (inf: none yet).
+
+    Tiles of ``side`` posts are settled whole, in arrays, with their neighbours' outer posts as given; only tiles beside posts that fell are
+    settled again, so rounds follow the number of tiles that a way crosses, not its posts.
+    """
+    spans = lambda c: F.array_distinct(F.array(F.floor(F.col(c) / side), F.floor((F.col(c) - 1) / side), F.floor((F.col(c) + 1) / side)))
+    around = lambda posts: posts.withColumn("ti", F.explode(spans("i"))).withColumn("tj", F.explode(spans("j")))
+    steps = [(x, y, float(np.hypot(x, y))) for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y]
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
+        a, b = i - i.min() + 1, j - j.min() + 1
+        shape = (int(a.max()) + 2, int(b.max()) + 2)
+        z, now, own = np.full(shape, np.inf), np.full(shape, np.inf), np.zeros(shape, bool)
+        z[a, b], now[a, b] = rows["value"], rows["now"]
+        own[a, b] = (i // side == rows["ti"]) & (j // side == rows["tj"])
+        there = np.isfinite(z)
+        here, before = (slice(1, -1), slice(1, -1)), now.copy()
+        while True:
+            last = now.copy()
+            for x, y, length in steps:
+                beside = (slice(1 + x, shape[0] - 1 + x), slice(1 + y, shape[1] - 1 + y))
+                can = own[here] & there[beside] & (now[beside] < np.inf)
+                offer = np.where(can, through(np.where(can, now[beside], 0.0), np.where(can, z[beside], 0.0), np.where(can, z[here], 0.0), length), np.inf)
+                np.minimum(now[here], offer, out=now[here])
+            if (now == last).all():
+                break
+        keep = own[a, b]
+        return pd.DataFrame({"ti": rows["ti"], "tj": rows["tj"], "i": i, "j": j, "value": rows["value"], "now": now[a, b], "fell": now[a, b] < before[a, b]})[keep]
+
+    schema = "ti long, tj long, i long, j long, value double, now double, fell boolean"
+    state = materialize(field.select(F.floor(F.col("i") / side).alias("ti"), F.floor(F.col("j") / side).alias("tj"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").cast("double").alias("value"), F.col("now").cast("double").alias("now"), F.lit(False).alias("fell")), "tiles")
+    active = materialize(around(state.where(F.col("now") < float("inf")).select("i", "j")).select("ti", "tj").distinct(), "active")
+    while not active.isEmpty():
+        outer = (F.pmod("i", F.lit(side)).isin(0, side - 1)) | (F.pmod("j", F.lit(side)).isin(0, side - 1))
+        halo = around(state.where(outer).select("i", "j", "value", "now")).where((F.col("ti") != F.floor(F.col("i") / side)) | (F.col("tj") != F.floor(F.col("j") / side)))
+        given = state.select("ti", "tj", "i", "j", "value", "now").unionByName(halo).join(active, ["ti", "tj"], "left_semi")
+        solved = given.groupBy("ti", "tj").applyInPandas(solve, schema)
+        after = materialize(state.join(active, ["ti", "tj"], "left_anti").withColumn("fell", F.lit(False)).unionByName(solved), "tiles")
+        fallen = after.where(outer & F.col("fell")).select(F.col("ti").alias("hi"), F.col("tj").alias("hj"), "i", "j")
+        moved = materialize(around(fallen).where("ti != hi or tj != hj").select("ti", "tj").distinct(), "active")
+        drop_table(state)
+        drop_table(active)
+        state, active = after, moved
+    return state.select("i", "j", "now")
+
+
+def fill(field: DataFrame, rim: Column, side: int = 256) -> DataFrame:
     """Each post raised to its spill: the least, over ways to a post of the rim, of the highest post on the way. As a fixpoint of
     minima and maxima, which the order of rounds doesn't change."""
-    high = float("inf")
-    start = field.select(F.struct("i", "j").alias("node"), F.when(rim, F.col("value")).otherwise(F.lit(high)).alias("value"))
-    over = neighbours(field).select("a", "b", F.col("vb").alias("cost"))
-    filled = relax(start, over, lambda v, c: F.greatest(v, c))
-    return filled.select("node.i", "node.j", F.col("value").alias("filled"))
+    start = field.select("i", "j", "value", F.when(rim, F.col("value").cast("double")).otherwise(F.lit(float("inf"))).alias("now"))
+    return settle(start, lambda now, beside, here, length: np.maximum(now, here), side).withColumnRenamed("now", "filled")
 
 
-def least_cost(field: DataFrame, start: Column) -> DataFrame:
+def least_cost(field: DataFrame, start: Column, side: int = 256) -> DataFrame:
     """The least cost of a way over 8 neighbours from a start to each post. A step costs the mean of its posts, times sqrt(2) if diagonal."""
-    begin = field.select(F.struct("i", "j").alias("node"), F.when(start, F.lit(0.0)).otherwise(F.lit(float("inf"))).alias("value"))
-    legs = neighbours(field).select("a", "b", ((F.col("va") + F.col("vb")) / 2 * F.when(F.col("diagonal"), F.sqrt(F.lit(2.0))).otherwise(F.lit(1.0))).alias("cost"))
-    return relax(begin, legs, lambda v, c: v + c).select("node.i", "node.j", F.col("value").alias("cost"))
+    begin = field.select("i", "j", "value", F.when(start, F.lit(0.0)).otherwise(F.lit(float("inf"))).alias("now"))
+    return settle(begin, lambda now, beside, here, length: now + (beside + here) / 2 * length, side).withColumnRenamed("now", "cost")
 
 
 def receivers(field: DataFrame) -> DataFrame:

@@ -24,14 +24,15 @@ def _cross(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Colum
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
 
 
-def crossings(segments: DataFrame, size: int) -> DataFrame:
+def crossings(segments: DataFrame, size: int, by: str | None = None) -> DataFrame:
     """Pairs of segments (id, path, ax, ay, bx, by_) of different paths that cross inside both: one, two (ids), and the point, rounded
-    half even. Each pair is looked at in the tile of the corner of its common box alone."""
+    half even. Each pair is looked at in the tile of the corner of its common box alone. ``by``: only pairs with an equal value there."""
     box = segments.withColumns({"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by_"), "y1": F.greatest("ay", "by_")})
     tiles = box.withColumn("tx", F.explode(F.sequence(tile(F.col("x0"), size), tile(F.col("x1"), size)))).withColumn("ty", F.explode(F.sequence(tile(F.col("y0"), size), tile(F.col("y1"), size))))
     l, r = tiles.alias("l"), tiles.alias("r")
     c = lambda s: F.col(s)
-    met = l.join(r, (c("l.tx") == c("r.tx")) & (c("l.ty") == c("r.ty"))).where("l.id < r.id and l.path != r.path and l.x0 <= r.x1 and r.x0 <= l.x1 and l.y0 <= r.y1 and r.y0 <= l.y1")
+    same = (c("l.tx") == c("r.tx")) & (c("l.ty") == c("r.ty"))
+    met = l.join(r, same & (c(f"l.{by}") == c(f"r.{by}")) if by else same).where("l.id < r.id and l.path != r.path and l.x0 <= r.x1 and r.x0 <= l.x1 and l.y0 <= r.y1 and r.y0 <= l.y1")
     met = met.where((tile(F.greatest("l.x0", "r.x0"), size) == c("l.tx")) & (tile(F.greatest("l.y0", "r.y0"), size) == c("l.ty")))
     sides = [_cross(*(c(f"{s}.{k}") for k in ("ax", "ay", "bx", "by_")), c(f"{o}.{x}"), c(f"{o}.{y}")) for s, o in (("l", "r"), ("r", "l")) for x, y in (("ax", "ay"), ("bx", "by_"))]
     crossed = met.where((F.signum(sides[0].cast("double")) * F.signum(sides[1].cast("double")) < 0) & (F.signum(sides[2].cast("double")) * F.signum(sides[3].cast("double")) < 0))

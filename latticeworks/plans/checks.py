@@ -19,13 +19,13 @@ def dropped_by_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).groupBy("kind", (F.col("nation") % 3).alias("cause")).agg(F.count("*").alias("n"), F.min("x_mm").alias("x0"), F.min("y_mm").alias("y0"), F.max("x_mm").alias("x1"), F.max("y_mm").alias("y1"))
 
 
-@query("WITH k AS (SELECT p_partkey AS kind, p_brand AS selector FROM part WHERE p_partkey < 60), f AS (SELECT DISTINCT p_type AS name, p_brand AS tag FROM part) SELECT s_suppkey AS feature, kind, name AS target FROM supplier JOIN k ON s_suppkey % 60 = kind JOIN f ON tag = selector")
+@query("WITH k AS (SELECT p_partkey AS kind, p_brand AS selector FROM part), f AS (SELECT DISTINCT p_type AS name, p_brand AS tag FROM part) SELECT s_suppkey AS feature, kind, name AS target FROM supplier JOIN k ON s_suppkey = kind JOIN f ON tag = selector")
 def effect_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each effect of a kind meets its features and the fields its selector names."""
     p = table(spark, sf_dir, "part")
-    kinds = p.where("p_partkey < 60").select(F.col("p_partkey").alias("kind"), F.col("p_brand").alias("selector"))
+    kinds = p.select(F.col("p_partkey").alias("kind"), F.col("p_brand").alias("selector"))
     targets = p.select(F.col("p_type").alias("target"), F.col("p_brand").alias("selector")).distinct()
-    features = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("feature"), (F.col("s_suppkey") % 60).alias("kind"))
+    features = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("feature"), F.col("s_suppkey").alias("kind"))
     return features.join(kinds, "kind").join(targets, "selector").select("feature", "kind", "target")
 
 
@@ -45,12 +45,12 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "owner").where("id < two").select(F.col("id").alias("one"), "two", (F.abs(F.col("x_mm") - F.col("bx")) + F.abs(F.col("y_mm") - F.col("by_"))).alias("gap"))
 
 
-@query(f"WITH e AS (SELECT post, ord, CASE WHEN ord % 3 = 0 THEN 1.0 ELSE m END AS m, material FROM ({_ENTRIES})), l AS (SELECT *, max(m) OVER (PARTITION BY post ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM e) SELECT material, post % 40 AS feature FROM l GROUP BY 1, 2 HAVING min(coalesce(later, 0)) = 1")
+@query(f"WITH e AS (SELECT post, ord, CASE WHEN ord % 3 = 0 THEN 1.0 ELSE m END AS m, material FROM ({_ENTRIES})), l AS (SELECT *, max(m) OVER (PARTITION BY post ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM e) SELECT material, post AS feature FROM l GROUP BY 1, 2 HAVING min(coalesce(later, 0)) = 1")
 def hidden_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries whose every post a later entry overwrites."""
     e = _entries(spark, sf_dir).withColumn("m", F.when(F.col("ord") % 3 == 0, 1.0).otherwise(F.col("m")))
     later = F.max("m").over(Window.partitionBy("post").orderBy("ord").rowsBetween(1, Window.unboundedFollowing))
-    return e.withColumn("later", later).groupBy("material", (F.col("post") % 40).alias("feature")).agg(F.min(F.coalesce("later", F.lit(0.0))).alias("least")).where("least = 1").select("material", "feature")
+    return e.withColumn("later", later).groupBy("material", F.col("post").alias("feature")).agg(F.min(F.coalesce("later", F.lit(0.0))).alias("least")).where("least = 1").select("material", "feature")
 
 
 @query(f"WITH e AS ({_ENTRIES}), v AS (SELECT *, lag(v) OVER (PARTITION BY post ORDER BY ord) AS before FROM e) SELECT material, round(max(abs((v - before) * m)), 6) AS most, max(abs((v - before) * m)) > 3.5 AS over FROM v WHERE before IS NOT NULL GROUP BY 1")
@@ -92,13 +92,13 @@ def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") <= 3) & (F.col("l_partkey") % 4 <= F.col("l_linenumber"))).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-_CITES = "SELECT p_partkey AS a, p_partkey // 3 AS b FROM part WHERE p_partkey BETWEEN 1 AND 400"
+_CITES = "SELECT p_partkey AS a, p_partkey // 3 AS b FROM part"
 
 
 @query(f"WITH RECURSIVE e AS ({_CITES}), r AS (SELECT a AS node, a % 9 AS layer FROM e UNION SELECT e.a, r.layer FROM e JOIN r ON e.b = r.node AND e.a <> e.b) SELECT node, max(layer) AS layer FROM r GROUP BY node")
 def added_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest layer among what an entity refers to, itself included, as a fixpoint."""
-    e = table(spark, sf_dir, "part").where("p_partkey between 1 and 400").select(F.col("p_partkey").alias("a"), F.expr("p_partkey div 3").alias("b"))
+    e = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.expr("p_partkey div 3").alias("b"))
     own = e.select(F.col("a").alias("node"), (-(F.col("a") % 9)).cast("double").alias("value"))
     back = e.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0.0).alias("cost"))
     return graph.relax(own, back, lambda v, c: v + c).select("node", (-F.col("value")).cast("long").alias("layer"))

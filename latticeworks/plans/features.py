@@ -111,10 +111,10 @@ def median_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.where("i = 19").join(b, "j").agg(F.bround(F.median(F.col("right") - F.col("value")), 2).alias("lift"), F.count("*").alias("pairs"))
 
 
-@query(sql("SELECT DISTINCT v.path, b.name FROM vertices v JOIN boxes b ON v.x_mm BETWEEN b.x0 AND b.x1 AND v.y_mm BETWEEN b.y0 AND b.y1 WHERE v.path < 3000", "vertices", "boxes"))
+@query(sql("SELECT DISTINCT v.path, b.name FROM vertices v JOIN boxes b ON v.x_mm BETWEEN b.x0 AND b.x1 AND v.y_mm BETWEEN b.y0 AND b.y1", "vertices", "boxes"))
 def features_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features with a vertex in a region."""
-    v = vertices(spark, sf_dir).where("path < 3000").withColumnRenamed("path", "id")
+    v = vertices(spark, sf_dir).withColumnRenamed("path", "id")
     return spatial.in_boxes(v, boxes(spark, sf_dir), 32_000).select(F.col("id").alias("path"), "name").distinct()
 
 

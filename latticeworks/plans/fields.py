@@ -9,7 +9,7 @@ from ..functions import draws
 from ..functions.formula import Scope, compile_formula
 from ..operators import raster, relational
 from .registry import query
-from .views import field, ground, points, sql, table
+from .views import field, points, sql, table
 
 
 def _metres() -> Scope:
@@ -71,7 +71,7 @@ def grid_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.posts(spark, 64, 48).select("i", "j", (F.col("i") * 4000).alias("x_mm"), (F.col("j") * 4000).alias("y_mm"))
 
 
-@query(sql("SELECT cx, cy, count(*) AS posts, CAST(sum(value) AS DOUBLE) AS total FROM (SELECT *, unnest(list_distinct([i // 8, greatest(i - 1, 0) // 8])) AS cx, j FROM field) a, LATERAL (SELECT unnest(list_distinct([a.j // 8, greatest(a.j - 1, 0) // 8])) AS cy) b GROUP BY cx, cy", "field"))
+@query(sql("SELECT cx, cy, count(*) AS posts, CAST(sum(value) AS DOUBLE) AS total FROM (SELECT *, unnest(list_distinct([i // 8, greatest(i - 1, 0) // 8])) AS cx, j FROM field) a, LATERAL (SELECT unnest(list_distinct([(a.j + 8) // 8 - 1, greatest(a.j - 1, 0) // 8])) AS cy) b GROUP BY cx, cy", "field"))
 def chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Square chunks that share their edge posts."""
     return raster.chunks(field(spark, sf_dir), 8).groupBy("cx", "cy").agg(F.count("*").alias("posts"), F.sum("value").alias("total"))
@@ -108,7 +108,7 @@ def zonal_under(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.zonal(f, zones).select("name", F.round("mean", 6).alias("mean"), "least", "greatest", "posts")
 
 
-@query(sql("WITH n AS (SELECT i, j, value, CASE WHEN (i + j) % 7 = 0 THEN value + 3 ELSE value END AS v FROM field) SELECT i // 8 AS cx, j // 8 AS cy, min(i) AS i0, min(j) AS j0, max(i) AS i1, max(j) AS j1, count(*) AS posts, max(abs(v - value)) AS most FROM n WHERE v <> value GROUP BY 1, 2", "field"))
+@query(sql("WITH n AS (SELECT i, j, value, CASE WHEN (i + j) % 7 = 0 THEN value + 3 ELSE value END AS v FROM field) SELECT i // 8 AS cx, (j + 8) // 8 - 1 AS cy, min(i) AS i0, min(j) AS j0, max(i) AS i1, max(j) AS j1, count(*) AS posts, max(abs(v - value)) AS most FROM n WHERE v <> value GROUP BY 1, 2", "field"))
 def field_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where two fields differ, per chunk."""
     old = field(spark, sf_dir)
@@ -116,11 +116,11 @@ def field_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.changed_region(old, new, 8)
 
 
-_ENTRIES = "SELECT l_partkey AS post, l_orderkey * 10000 + l_suppkey * 10 + l_linenumber AS ord, min(l_quantity) AS v, min(l_discount) AS m, CAST(min(l_linenumber) AS BIGINT) AS material FROM lineitem WHERE l_partkey < 300 GROUP BY 1, 2"
+_ENTRIES = "SELECT l_partkey AS post, l_orderkey * 10000 + l_suppkey * 10 + l_linenumber AS ord, min(l_quantity) AS v, min(l_discount) AS m, CAST(min(l_linenumber) AS BIGINT) AS material FROM lineitem GROUP BY 1, 2"
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_partkey < 300")
+    l = table(spark, sf_dir, "lineitem")
     order = F.col("l_orderkey") * 10000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
     return l.groupBy(F.col("l_partkey").alias("post"), order.alias("ord")).agg(F.min("l_quantity").alias("v"), F.min("l_discount").alias("m"), F.min("l_linenumber").cast("long").alias("material"))
 
@@ -145,23 +145,23 @@ def last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.last_writer(_entries(spark, sf_dir), ["post"], "ord", "m", "v")
 
 
-@query(sql("WITH RECURSIVE g AS (SELECT i, j, value FROM field WHERE i < 12 AND j < 10), s AS (SELECT DISTINCT value AS h FROM g), r AS (SELECT h, i, j FROM s JOIN g ON value <= h AND (i IN (0, 11) OR j IN (0, 9)) UNION SELECT r.h, g.i, g.j FROM r JOIN g ON abs(g.i - r.i) <= 1 AND abs(g.j - r.j) <= 1 AND g.value <= r.h) SELECT i, j, min(h) AS filled FROM r GROUP BY i, j", "field").replace("WITH field", "WITH RECURSIVE field").replace(", RECURSIVE g", ", g"))
+@query()
 def flood_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each post raised to its spill over the rim."""
-    f = field(spark, sf_dir).where("i < 12 and j < 10")
-    return raster.fill(f, F.col("i").isin(0, 11) | F.col("j").isin(0, 9)).select("i", "j", "filled")
+    """Each post raised to its spill over the rim, which are the posts without all 8 neighbours."""
+    f = raster.with_rim(field(spark, sf_dir))
+    return raster.fill(f, F.col("rim")).select("i", "j", "filled")
 
 
 @query()
 def least_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cost of the cheapest way over 8 neighbours from a corner."""
-    return raster.least_cost(ground(spark, sf_dir), (F.col("i") == 0) & (F.col("j") == 0)).select("i", "j", F.round("cost", 6).alias("cost"))
+    return raster.least_cost(field(spark, sf_dir), (F.col("i") == 0) & (F.col("j") == 0)).select("i", "j", F.round("cost", 6).alias("cost"))
 
 
 @query()
 def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts upstream along steepest receivers."""
-    return raster.accumulate(ground(spark, sf_dir))
+    return raster.accumulate(field(spark, sf_dir))
 
 
 @query(sql("WITH n AS (SELECT a.i, a.j, b.i AS bi, b.j AS bj, (a.value - b.value) / CASE WHEN a.i <> b.i AND a.j <> b.j THEN sqrt(2.0) ELSE 1 END AS fall FROM field a JOIN field b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND b.value < a.value) SELECT i, j, bi, bj FROM n QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY fall DESC, bj, bi) = 1", "field"))
@@ -195,7 +195,7 @@ def moving_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.moving_mean(l, "path", "seq", "v", 2).select("path", "seq", F.round("smooth", 6).alias("smooth"))
 
 
-@query(sql("SELECT a.i, a.j, b.i AS bi, b.j AS bj, abs(a.value - b.value) AS step FROM field a JOIN field b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1) WHERE abs(a.value - b.value) > 500 AND (a.i // 8 <> b.i // 8 OR a.j // 8 <> b.j // 8)", "field"))
+@query(sql("SELECT a.i, a.j, b.i AS bi, b.j AS bj, abs(a.value - b.value) AS step FROM field a JOIN field b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1) WHERE abs(a.value - b.value) > 500 AND (a.i // 8 <> b.i // 8 OR (a.j + 8) // 8 <> (b.j + 8) // 8)", "field"))
 def seam_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring posts across a chunk edge whose step is over a limit."""
     n = raster.neighbours(field(spark, sf_dir), 4).where("(b.i > a.i or b.j > a.j) and abs(va - vb) > 500")
@@ -212,7 +212,7 @@ def basins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mask_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of where a field is above a level, for each zone of rows."""
-    f = ground(spark, sf_dir).select(F.floor(F.col("j") / 8).alias("zone"), "i", "j", (F.col("value") - 600).alias("value"))
+    f = field(spark, sf_dir).select(F.floor(F.col("j") / 8).alias("zone"), "i", "j", (F.col("value") - 600).alias("value"))
     return raster.outlines(f, "zone")
 
 

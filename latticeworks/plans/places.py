@@ -137,11 +137,13 @@ def frame_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", (x + 1000).alias("wx"), (y - 500).alias("wy"))
 
 
-_EDGES = "SELECT DISTINCT l_partkey AS a, l_partkey * 31 % 1999 AS b FROM lineitem WHERE l_partkey < 400 AND l_partkey % 3 <> 0"
+_EDGES = "SELECT l_partkey AS a, min(l_suppkey) AS b FROM lineitem GROUP BY 1 UNION SELECT l_partkey, max(l_suppkey) FROM lineitem GROUP BY 1"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_partkey < 400 and l_partkey % 3 != 0").select(F.col("l_partkey").alias("a"), (F.col("l_partkey") * 31 % 1999).alias("b")).distinct()
+    """From each part to the least and the greatest of its suppliers, whose numbers are those of parts."""
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("a")).agg(F.min("l_suppkey").alias("low"), F.max("l_suppkey").alias("high"))
+    return own.select("a", F.explode(F.array_distinct(F.array("low", "high"))).alias("b"))
 
 
 @query(f"WITH RECURSIVE e AS ({_EDGES}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS root FROM s UNION SELECT b, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node HAVING min(root) <> node")
@@ -196,11 +198,12 @@ _SIDE = "(({a}.bx - {a}.ax) * ({b}.{y} - {a}.ay) - ({a}.by_ - {a}.ay) * ({b}.{x}
 _S1, _S2, _S3, _S4 = (_SIDE.format(a=a, b=b, x=x, y=y) for a, b in (("l", "r"), ("r", "l")) for x, y in (("ax", "ay"), ("bx", "by_")))
 
 
-@query(sql(f"WITH {_SEGMENTS}, s AS (SELECT path * 10 + k AS id, path, ax, ay, bx, by_ FROM lens WHERE path < 250) SELECT l.id AS one, r.id AS two FROM s l JOIN s r ON l.id < r.id AND l.path <> r.path AND sign({_S1}) * sign({_S2}) < 0 AND sign({_S3}) * sign({_S4}) < 0", "vertices"))
+@query(sql(f"WITH {_SEGMENTS}, s AS (SELECT path * 10 + k AS id, path, o_custkey AS owner, ax, ay, bx, by_ FROM lens JOIN orders ON o_orderkey = path) SELECT l.id AS one, r.id AS two FROM s l JOIN s r ON l.owner = r.owner AND l.id < r.id AND l.path <> r.path AND sign({_S1}) * sign({_S2}) < 0 AND sign({_S3}) * sign({_S4}) < 0", "vertices"))
 def path_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of different paths that cross, met by tiles."""
-    s = spatial.segments(vertices(spark, sf_dir).where("path < 250"), "path", "seq").withColumn("id", F.col("path") * 10 + F.col("k"))
-    return shapes.crossings(s, 32_000).select("one", "two")
+    """Segments of different paths of one owner that cross, met by tiles."""
+    owners = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("owner"))
+    s = spatial.segments(vertices(spark, sf_dir), "path", "seq").withColumn("id", F.col("path") * 10 + F.col("k"))
+    return shapes.crossings(s.join(owners, "path"), 32_000, by="owner").select("one", "two")
 
 
 @query(sql(f"WITH {_SEGMENTS}, t AS (SELECT *, max(before + length) OVER (PARTITION BY path) AS total FROM cum), c AS (SELECT path, k, greatest(before, total * 0.25) AS a, least(before + length, total * 0.75) AS b FROM t) SELECT path, k, round(a, 3) AS from_mm, round(b, 3) AS to_mm FROM c WHERE a < b", "vertices"))
@@ -232,11 +235,11 @@ def build_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.depths(e)
 
 
-@query(sql("WITH RECURSIVE r AS (SELECT id, x_mm, y_mm, weight, row_number() OVER (ORDER BY weight DESC, id) AS n FROM points WHERE id < 300), near AS (SELECT a.id, b.id AS by_id FROM r a JOIN r b ON b.n < a.n AND (a.x_mm - b.x_mm) ** 2 + (a.y_mm - b.y_mm) ** 2 <= 400000000), s AS (SELECT 0 AS n, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT s.n + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE near.id = r.id AND list_contains(s.kept, near.by_id)) THEN s.kept ELSE list_append(s.kept, r.id) END FROM s JOIN r ON r.n = s.n + 1) SELECT unnest(kept) AS id FROM s WHERE n = (SELECT max(n) FROM r)", "points").replace("WITH points", "WITH RECURSIVE points").replace(", RECURSIVE r", ", r"))
+@query(sql("WITH RECURSIVE r AS (SELECT id, x_mm, y_mm, weight, row_number() OVER (ORDER BY weight DESC, id) AS n FROM points), near AS (SELECT a.id, b.id AS by_id FROM r a JOIN r b ON b.n < a.n AND (a.x_mm - b.x_mm) ** 2 + (a.y_mm - b.y_mm) ** 2 <= 16000000), s AS (SELECT 0 AS n, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT s.n + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE near.id = r.id AND list_contains(s.kept, near.by_id)) THEN s.kept ELSE list_append(s.kept, r.id) END FROM s JOIN r ON r.n = s.n + 1) SELECT unnest(kept) AS id FROM s WHERE n = (SELECT max(n) FROM r)", "points").replace("WITH points", "WITH RECURSIVE points").replace(", RECURSIVE r", ", r"))
 def give_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In order of weight, a row gives way to a kept one nearby, as a fixpoint of whole rounds."""
-    p = points(spark, sf_dir).where("id < 300")
-    near = spatial.within_radius(p, p.select("id", "x_mm", "y_mm"), 20_000).where("id != site")
+    p = points(spark, sf_dir)
+    near = spatial.within_radius(p, p.select("id", "x_mm", "y_mm"), 4000).where("id != site")
     rank = p.select("id", F.struct(-F.col("weight"), "id").alias("rank"))
     ties = near.join(rank, "id").join(rank.select(F.col("id").alias("site"), F.col("rank").alias("other")), "site").where("other < rank").select("id", F.col("site").alias("ahead"))
     return graph.independent(p.select("id"), ties)

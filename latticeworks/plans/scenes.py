@@ -9,13 +9,13 @@ from ..functions.formula import Scope, compile_formula
 from ..operators import place, raster, spatial, terrain
 from .places import _SEGMENTS
 from .registry import query
-from .views import boxes, field, ground, points, sites, sql, vertices
+from .views import boxes, field, points, sites, sql, vertices
 
 
-@query(sql("SELECT 'hill.' || kind || id AS name, 1000 - y_mm AS x_mm, 500 + x_mm AS y_mm FROM points WHERE id < 400", "points"))
+@query(sql("SELECT 'hill.' || kind || id AS name, 1000 - y_mm AS x_mm, 500 + x_mm AS y_mm FROM points", "points"))
 def import_bring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another world's places, turned, moved and renamed."""
-    p = points(spark, sf_dir).where("id < 400").select(F.concat("kind", F.col("id").cast("string")).alias("name"), "x_mm", "y_mm")
+    p = points(spark, sf_dir).select(F.concat("kind", F.col("id").cast("string")).alias("name"), "x_mm", "y_mm")
     return spatial.bring(p, "hill", 1000, 500, 270_000).select("name", "x_mm", "y_mm")
 
 
@@ -33,11 +33,11 @@ def feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", F.to_json(F.struct("id", "kind", F.array("x_mm", "y_mm").alias("at"))).alias("line"))
 
 
-@query(sql(f"WITH {_SEGMENTS}, g AS (SELECT i * 8000 AS x, j * 8000 AS y, j * 32 + i AS id FROM range(32) a(i), range(32) b(j)), d AS (SELECT id, c.path, c.k, least(greatest(CAST((bx - ax) * (x - ax) + (by_ - ay) * (y - ay) AS DOUBLE) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0), 1) AS t, x, y, ax, ay, bx, by_ FROM g CROSS JOIN cum c WHERE c.path < 60) SELECT id, path, k, round(sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by_ - ay)) ** 2), 3) AS d FROM d WHERE sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by_ - ay)) ** 2) <= 5000", "vertices"))
+@query(sql(f"WITH {_SEGMENTS}, g AS (SELECT i * 8000 AS x, j * 8000 AS y, j * 32 + i AS id FROM range(32) a(i), range(32) b(j)), d AS (SELECT id, c.path, c.k, least(greatest(CAST((bx - ax) * (x - ax) + (by_ - ay) * (y - ay) AS DOUBLE) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0), 1) AS t, x, y, ax, ay, bx, by_ FROM g CROSS JOIN cum c) SELECT id, path, k, round(sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by_ - ay)) ** 2), 3) AS d FROM d WHERE sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by_ - ay)) ** 2) <= 5000", "vertices"))
 def stroke_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts within a width of a path, met by tiles."""
     posts = raster.posts(spark, 32, 32).select((F.col("j") * 32 + F.col("i")).alias("id"), (F.col("i") * 8000).alias("x_mm"), (F.col("j") * 8000).alias("y_mm"))
-    lines = spatial.segments(vertices(spark, sf_dir).where("path < 60"), "path", "seq")
+    lines = spatial.segments(vertices(spark, sf_dir), "path", "seq")
     return spatial.along_segments(posts, lines, 5000).select("id", "path", "k", F.round("d", 3).alias("d"))
 
 
@@ -85,20 +85,20 @@ def made_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def eroded_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A step of uplift, stream-power incision along each basin's receivers, and diffusion."""
-    land = terrain.erode(ground(spark, sf_dir), uplift=0.5, power=0.02, spread=0.1)
+    land = terrain.erode(field(spark, sf_dir), uplift=0.5, power=0.02, spread=0.1)
     return land.select("i", "j", F.round("value", 6).alias("value"))
 
 
 @query()
 def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strahler's order and the steps to the pit, for each post."""
-    return terrain.strahler(ground(spark, sf_dir))
+    return terrain.strahler(field(spark, sf_dir))
 
 
 @query()
 def settled_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2: slopes over a repose relaxed, mass kept."""
-    return terrain.relax_slopes(ground(spark, sf_dir), 300.0, 4).select("i", "j", F.round("value", 6).alias("value"))
+    return terrain.relax_slopes(field(spark, sf_dir), 300.0, 4).select("i", "j", F.round("value", 6).alias("value"))
 
 
 @query()
@@ -114,11 +114,11 @@ def followed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.follow(spatial.segments(vertices(spark, sf_dir), "path", "seq"), "path", 10_000, -1500)
 
 
-@query(sql("WITH RECURSIVE g AS (SELECT i, j, value FROM field WHERE i < 12 AND j < 10), s AS (SELECT DISTINCT value AS h FROM g), r AS (SELECT h, i, j FROM s JOIN g ON value <= h AND (i IN (0, 11) OR j IN (0, 9)) UNION SELECT r.h, g.i, g.j FROM r JOIN g ON abs(g.i - r.i) <= 1 AND abs(g.j - r.j) <= 1 AND g.value <= r.h), f AS (SELECT i, j, min(h) AS filled FROM r GROUP BY i, j) SELECT i, j, CASE WHEN filled - value < 60 THEN filled ELSE value END AS value FROM f JOIN g USING (i, j)", "field").replace("WITH field", "WITH RECURSIVE field").replace(", RECURSIVE g", ", g"))
+@query()
 def shallow_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depressions shallower than a depth are filled, deeper ones stay."""
-    f = field(spark, sf_dir).where("i < 12 and j < 10")
-    filled = raster.fill(f, F.col("i").isin(0, 11) | F.col("j").isin(0, 9))
+    f = raster.with_rim(field(spark, sf_dir))
+    filled = raster.fill(f, F.col("rim"))
     return f.join(filled, ["i", "j"]).select("i", "j", F.when(F.col("filled") - F.col("value") < 60, F.col("filled")).otherwise(F.col("value")).alias("value"))
 
 

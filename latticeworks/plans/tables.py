@@ -94,13 +94,13 @@ def change_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.apply_changes(c, edits.unionByName(added), "c_custkey", "c_mktsegment")
 
 
-_WRITES = "SELECT 'change' || (p_partkey % 12) AS change, CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_type || '/' || p_brand END AS path FROM part WHERE p_partkey < 120"
+_WRITES = "SELECT 'change' || (p_partkey % 12) AS change, CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_type || '/' || p_brand END AS path FROM part"
 
 
 @query(f"WITH w AS ({_WRITES}) SELECT DISTINCT least(a.change, b.change) AS one, greatest(a.change, b.change) AS two, a.path AS shared FROM w a JOIN w b ON a.change <> b.change AND (b.path = a.path OR starts_with(b.path, a.path || '/'))")
 def change_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes that write one path, or a path and its prefix."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 120")
+    p = table(spark, sf_dir, "part")
     path = F.when(F.col("p_partkey") % 5 == 0, F.col("p_type")).otherwise(F.concat_ws("/", "p_type", "p_brand"))
     return relational.conflicts(p.select(F.concat(F.lit("change"), F.col("p_partkey") % 12).alias("change"), path.alias("path")), "change", "path")
 
@@ -111,11 +111,12 @@ def once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_type", "user_id").distinct()
 
 
-@query("SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey < 500 EXCEPT ALL SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey < 400")
+@query("SELECT l_returnflag, l_linestatus, l_partkey FROM lineitem EXCEPT ALL SELECT l_returnflag, l_linestatus, l_partkey + l_linenumber % 2 FROM lineitem")
 def bag_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes one copy of each record."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber")
-    return relational.bag_difference(l.where("l_orderkey < 500").drop("l_orderkey"), l.where("l_orderkey < 400").drop("l_orderkey"))
+    l = table(spark, sf_dir, "lineitem")
+    moved = (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("l_partkey")
+    return relational.bag_difference(l.select("l_returnflag", "l_linestatus", "l_partkey"), l.select("l_returnflag", "l_linestatus", moved))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

@@ -77,3 +77,55 @@ def test_land_over_all_posts(spark, parts, name):
 def test_outlines_of_all_zones(spark, parts):
     got = {r.zone for r in catalogue.QUERIES["mask_regions"](spark, parts).collect()}
     assert got == {j // 8 for (_, j), v in heights().items() if v > 600}
+
+
+def spilled(z):
+    """By Priority-Flood: posts in the order of the lowest way to the rim."""
+    todo = [(v, p) for p, v in z.items() if len(around(p, z)) < 8]
+    heapq.heapify(todo)
+    out = {}
+    while todo:
+        v, p = heapq.heappop(todo)
+        if p not in out:
+            out[p] = v
+            for q in around(p, z):
+                heapq.heappush(todo, (max(v, z[q]), q))
+    return out
+
+
+@pytest.fixture(scope="module")
+def land(spark, tmp_path_factory):
+    """41 whole rows of 40 posts and a short one."""
+    path = tmp_path_factory.mktemp("land")
+    spark.range(1, 1660).withColumnRenamed("id", "p_partkey").write.parquet(f"{path}/part.parquet")
+    return str(path), {((k - 1) % 40, (k - 1) // 40): float(k * 7919 % 997) for k in range(1, 1660)}
+
+
+def test_fills_over_all_posts(spark, land):
+    path, z = land
+    filled = spilled(z)
+    assert {(r.i, r.j): r.filled for r in catalogue.QUERIES["flood_fill"](spark, path).collect()} == filled
+    assert any(filled[p] > z[p] for p in z)
+    assert {(r.i, r.j): r.value for r in catalogue.QUERIES["shallow_filled"](spark, path).collect()} == {p: filled[p] if filled[p] - z[p] < 60 else z[p] for p in z}
+
+
+@pytest.mark.parametrize("side", [7, 16, 256])
+def test_tiles_make_no_difference(spark, land, side):
+    from pyspark.sql import functions as F
+
+    from latticeworks.operators import raster
+    from latticeworks.plans.views import field
+
+    path, z = land
+    f = raster.with_rim(field(spark, path))
+    assert {(r.i, r.j): r.filled for r in raster.fill(f, F.col("rim"), side).collect()} == spilled(z)
+    cost, todo = {}, [(0.0, (3, 4))]
+    while todo:
+        c, p = heapq.heappop(todo)
+        if p not in cost:
+            cost[p] = c
+            for q in around(p, z):
+                heapq.heappush(todo, (c + (z[p] + z[q]) / 2 * math.hypot(p[0] - q[0], p[1] - q[1]), q))
+    got = {(r.i, r.j): r.cost for r in raster.least_cost(f, (F.col("i") == 3) & (F.col("j") == 4), side).collect()}
+    assert got == pytest.approx(cost)
+    assert raster.fill(f.limit(0), F.col("rim"), side).count() == 0
