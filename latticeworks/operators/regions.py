@@ -15,17 +15,19 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import DataFrame
 
-Point = tuple[Fraction, Fraction]
+#: Whole numbers stay such, which is much faster; only points where edges cross are fractions.
+Number = int | Fraction
+Point = tuple[Number, Number]
 Edge = tuple[Point, Point]
 Ring = list[Point]
 
 
-def _cross(a: Point, b: Point, c: Point) -> Fraction:
+def _cross(a: Point, b: Point, c: Point) -> Number:
     return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
 
 
 def exact(ring: list[tuple[int, int]]) -> Ring:
-    return [(Fraction(x), Fraction(y)) for x, y in ring]
+    return [(int(x), int(y)) for x, y in ring]
 
 
 def area2(rings: list[Ring]) -> Fraction:
@@ -52,8 +54,16 @@ def meets(e: Edge, f: Edge) -> list[Point]:
     u, v = _cross(a, b, c), _cross(a, b, d)
     if (u > 0 and v > 0) or (u < 0 and v < 0) or (s > 0 and t > 0) or (s < 0 and t < 0):
         return []
-    k = s / (s - t)
-    return [(a[0] + k * (b[0] - a[0]), a[1] + k * (b[1] - a[1]))]
+    if not s:
+        return [a]
+    if not t:
+        return [b]
+    k = Fraction(s) / (s - t)
+    return [(_plain_number(a[0] + k * (b[0] - a[0])), _plain_number(a[1] + k * (b[1] - a[1])))]
+
+
+def _plain_number(x: Number) -> Number:
+    return x.numerator if x.denominator == 1 else x
 
 
 def noded(edges: list[Edge], others: list[Edge] | None = None) -> list[Edge]:
@@ -73,13 +83,16 @@ def noded(edges: list[Edge], others: list[Edge] | None = None) -> list[Edge]:
 def winding(p: Point, edges: list[Edge]) -> int | None:
     """How often the edges go round a point; None on one of them."""
     out = 0
+    y = p[1]
     for a, b in edges:
+        if a[1] > y and b[1] > y or a[1] < y and b[1] < y:
+            continue
         side = _cross(a, b, p)
         if side == 0 and _between(a, b, p):
             return None
-        if a[1] <= p[1] < b[1] and side > 0:
+        if a[1] <= y < b[1] and side > 0:
             out += 1
-        elif b[1] <= p[1] < a[1] and side < 0:
+        elif b[1] <= y < a[1] and side < 0:
             out -= 1
     return out
 
@@ -121,18 +134,28 @@ def _plain(ring: Ring) -> Ring:
 
 
 def _middle(e: Edge) -> Point:
-    return (e[0][0] + e[1][0]) / 2, (e[0][1] + e[1][1]) / 2
+    return _half(e[0][0] + e[1][0]), _half(e[0][1] + e[1][1])
+
+
+def _half(x: Number) -> Number:
+    return _plain_number(Fraction(x) / 2) if not isinstance(x, int) or x % 2 else x // 2
+
+
+def _holds(box: tuple[Number, ...], p: Point) -> bool:
+    return box[0] <= p[0] <= box[2] and box[1] <= p[1] <= box[3]
 
 
 def union(regions: list[list[Ring]]) -> list[Ring]:
     """What any of the regions holds. All are cut by one another at once, so numbers don't grow with their number."""
     own = [edges_of(r) for r in regions]
+    boxes = [tuple(f(p[c] for r in x for p in r) for f in (min, max) for c in (0, 1)) if any(x) else (0, 0, -1, -1) for x in regions]
     kept: set[Edge] = set()
     shared: set[Edge] = set()
     for k, mine in enumerate(own):
         others = [f for m, e in enumerate(own) if m != k for f in e]
         for e in noded(mine, others):
-            places = [winding(_middle(e), o) for m, o in enumerate(own) if m != k]
+            middle = _middle(e)
+            places = [winding(middle, o) for m, o in enumerate(own) if m != k and _holds(boxes[m], middle)]
             if all(p is None or p == 0 for p in places):
                 (shared if None in places else kept).add(e)
     kept |= {e for e in shared if (e[1], e[0]) not in shared}  # where two lie side by side, nothing is left

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.formula import Scope, compile_formula
 from ..operators import raster, regions, relational, spatial
+from ..storage import spread
 from .fields import _ENTRIES, _entries
 from .registry import query
 from .views import boxes, field, points, sites, sql, table, vertices
@@ -42,7 +43,7 @@ def street_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((path, len(rings), round(regions.area2(rings))))
             yield pd.DataFrame(rows, columns=["path", "rings", "area2"])
 
-    return paths.mapInPandas(run, "path long, rings long, area2 long")
+    return spread(paths).mapInPandas(run, "path long, rings long, area2 long")
 
 
 @query()
@@ -65,7 +66,7 @@ def network_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((town, len({p for e in cut for p in e}), len({tuple(sorted(e)) for e in cut}), len(areas), round(sum(regions.area2([r]) for r in areas))))
             yield pd.DataFrame(rows, columns=["town", "junctions", "edges", "areas", "area2"])
 
-    return towns.mapInPandas(run, "town long, junctions long, edges long, areas long, area2 long")
+    return spread(towns).mapInPandas(run, "town long, junctions long, edges long, areas long, area2 long")
 
 
 @query(sql("SELECT path, (list_sort(list([x_mm, y_mm, seq])))[1][3] AS first_seq, (list_sort(list([x_mm, y_mm])))[1][1] AS least_x, count(*) AS n FROM vertices GROUP BY path", "vertices"))

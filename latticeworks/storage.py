@@ -43,6 +43,11 @@ def parallelism(df: DataFrame, bytes_a_task: int = 64 << 20) -> int:
     return max(least, -(-size // bytes_a_task)) if size < 1 << 60 else least  # beyond, Spark doesn't know
 
 
+def spread(df: DataFrame, bytes_a_task: int = 1 << 20) -> DataFrame:
+    """The same rows dealt to as many tasks as work on each row needs, rather than to as few as its bytes would fit."""
+    return df.repartition(parallelism(df, bytes_a_task))
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
     """What runs inside hands rows to Python in batches of about ``size``, which bounds what both sides hold at once."""
