@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_words, stream, to_unit
+from ..storage import spread
 from .spatial import interpolate, turned
 
 MILLION = 1_000_000
@@ -173,12 +174,11 @@ def smooth(points: list[tuple[int, int]], step: int = 250) -> list[tuple[int, in
         a, b, c, d = p[k - 1 : k + 3]
         ta, tb, tc, td = knots[k - 1 : k + 3]
         n = max(1, math.ceil(math.hypot(*(c - b)) / step))
-        for m in range(1, n):
-            t = tb + (tc - tb) * m / n
-            blend = lambda u, v, lo, hi, t=t: (hi - t) / (hi - lo) * u + (t - lo) / (hi - lo) * v
-            ab, bc, cd = blend(a, b, ta, tb), blend(b, c, tb, tc), blend(c, d, tc, td)
-            x, y = blend(blend(ab, bc, ta, tc), blend(bc, cd, tb, td), tb, tc)
-            if (q := (round(x), round(y))) != out[-1]:
+        t = (tb + (tc - tb) * np.arange(1, n) / n)[:, None]
+        blend = lambda u, v, lo, hi, t=t: (hi - t) / (hi - lo) * u + (t - lo) / (hi - lo) * v
+        ab, bc, cd = blend(a, b, ta, tb), blend(b, c, tb, tc), blend(c, d, tc, td)
+        for q in map(tuple, np.rint(blend(blend(ab, bc, ta, tc), blend(bc, cd, tb, td), tb, tc)).astype(int).tolist()):
+            if q != out[-1]:
                 out.append(q)
         if points[k] != out[-1]:
             out.append(points[k])
@@ -194,7 +194,7 @@ def smooth_paths(vertices: DataFrame, by: str, order: str, step: int = 250) -> D
             rows = [(p, n, x, y) for p, own in zip(b[by], b["points"]) for n, (x, y) in enumerate(smooth([(int(v["x_mm"]), int(v["y_mm"])) for v in own], step))]
             yield pd.DataFrame(rows, columns=[by, "n", "x_mm", "y_mm"])
 
-    return paths.mapInPandas(run, f"{by} {vertices.schema[by].dataType.simpleString()}, n long, x_mm long, y_mm long")
+    return spread(paths).mapInPandas(run, f"{by} {vertices.schema[by].dataType.simpleString()}, n long, x_mm long, y_mm long")
 
 
 def cells(lines: DataFrame, by: str, width: int, depth: int) -> DataFrame:

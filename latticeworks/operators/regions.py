@@ -12,9 +12,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..storage import spread
+
 #: Whole numbers stay such, which is much faster; only points where edges cross are fractions.
 Number = int | Fraction
 Point = tuple[Number, Number]
@@ -202,6 +205,76 @@ def stroke(path: list[tuple[int, int]], width: int, corners: int = 8) -> list[Ri
     return union(parts)
 
 
+def _cut(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which edge (ends: ax, ay, bx, by, whole numbers of 18 bits), and the points where it is cut, its ends among them, as reduced (X, Y, D) for (X / D, Y / D)."""
+    n = len(ends)
+    a, b = ends[:, :2], ends[:, 2:]
+    cross = lambda p, q, r: (q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0])
+    own, other = np.triu_indices(n, 1)
+    near = np.ones(len(own), bool)
+    for c in (0, 1):
+        low, high = np.minimum(a[:, c], b[:, c]), np.maximum(a[:, c], b[:, c])
+        near &= (low[own] <= high[other]) & (low[other] <= high[own])
+    e, f = own[near], other[near]
+    s, t, u, v = cross(a[f], b[f], a[e]), cross(a[f], b[f], b[e]), cross(a[e], b[e], a[f]), cross(a[e], b[e], b[f])
+    flat = (s == 0) & (t == 0)
+    hit = ~flat & (np.sign(s) * np.sign(t) <= 0) & (np.sign(u) * np.sign(v) <= 0)
+    d = (s - t)[hit]
+    sign = np.sign(d)
+    point = np.column_stack([a[e[hit]] * d[:, None] + s[hit, None] * (b - a)[e[hit]], d]) * sign[:, None]
+    point //= np.gcd.reduce(point, axis=1)[:, None]
+    whole = lambda p: np.column_stack([p, np.ones(len(p), np.int64)])
+    edge, cut = [np.arange(n), np.arange(n), e[hit], f[hit]], [whole(a), whole(b), point, point]
+    for one, two in ((e[flat], f[flat]), (f[flat], e[flat])):  # on one line: the ends of one that lie on the other
+        for p in (a[two], b[two]):
+            on = ((np.minimum(a[one], b[one]) <= p) & (p <= np.maximum(a[one], b[one]))).all(axis=1)
+            edge.append(one[on])
+            cut.append(whole(p[on]))
+    return np.concatenate(edge), np.concatenate(cut)
+
+
+def network(ends: np.ndarray) -> tuple[int, int, int, float]:
+    """Of edges (rows of ax, ay, bx, by) cut where they meet: junctions, edges, bounded areas, and twice what these hold. The same as of ``noded`` and
+    ``shapes.faces``, in arrays of whole numbers; only the measure is a float."""
+    ends = ends[(ends[:, :2] != ends[:, 2:]).any(axis=1)]
+    if not len(ends):
+        return 0, 0, 0, 0.0
+    ends = ends - np.tile(ends.reshape(-1, 2).min(axis=0), 2)
+    edge, cut = _cut(ends)
+    points, at = np.unique(cut, axis=0, return_inverse=True)
+    at = at.ravel()
+    xy = points[:, :2] / points[:, 2:]
+    way = (ends[:, 2:] - ends[:, :2])[edge]
+    along = ((xy[at] - ends[edge, :2]) * way).sum(axis=1)
+    order = np.lexsort((at, along, edge))
+    edge, at, way = edge[order], at[order], way[order]
+    p, q, way = at[:-1], at[1:], way[1:]
+    real = (edge[1:] == edge[:-1]) & (p != q)
+    p, q, way = p[real], q[real], way[real]
+    _, first = np.unique(np.minimum(p, q) * len(points) + np.maximum(p, q), return_index=True)
+    p, q, way = p[first], q[first], way[first]
+    m = len(p)
+    start, end = np.append(p, q), np.append(q, p)
+    angle = np.arctan2(*np.append(way, -way, axis=0).T[::-1].astype(float))
+    order = np.lexsort((angle, start))
+    place = np.empty(2 * m, np.int64)
+    place[order] = np.arange(2 * m)
+    head = np.searchsorted(start[order], np.arange(len(points) + 1))
+    back = place[np.append(np.arange(m, 2 * m), np.arange(m))]  # where the way back stands around the end
+    before = order[np.where(back == head[end], head[end + 1] - 1, back - 1)]  # the next edge clockwise
+    label, jump = np.arange(2 * m), before
+    for _ in range((2 * m).bit_length()):  # the least edge of each cycle, by jumps of doubling length
+        label, jump = np.minimum(label, label[jump]), jump[jump]
+    area = np.bincount(label, xy[start, 0] * xy[end, 1] - xy[end, 0] * xy[start, 1], 2 * m)
+    twin = np.append(label[m:], label[:m])
+    inside = np.bincount(label[label != twin], minlength=2 * m) > 0  # else only there and back again
+    for k in np.flatnonzero(inside & (np.abs(area) < 1)):  # too small to trust a float's sign
+        spot = lambda h: [Fraction(int(points[h, c]), int(points[h, 2])) for c in (0, 1)]
+        area[k] = sum(a[0] * b[1] - b[0] * a[1] for a, b in ((spot(start[h]), spot(end[h])) for h in np.flatnonzero(label == k)))
+    inside &= area > 0
+    return len(points), m, int(inside.sum()), float(area[inside].sum())
+
+
 def rounded(rings: list[Ring]) -> list[list[tuple[int, int]]]:
     """On the lattice, half to even; rings that shrink to nothing go."""
     out = []
@@ -229,4 +302,4 @@ def overlay_pairs(pairs: DataFrame) -> DataFrame:
                 rows.append((one, two, *(round(area2(overlay(a, b, how))) for how in ("and", "or", "minus"))))
             yield pd.DataFrame(rows, columns=["one", "two", "both2", "either2", "alone2"])
 
-    return pairs.select("one", "two", "ring_one", "ring_two").mapInPandas(run, "one string, two string, both2 long, either2 long, alone2 long")
+    return spread(pairs.select("one", "two", "ring_one", "ring_two")).mapInPandas(run, "one string, two string, both2 long, either2 long, alone2 long")

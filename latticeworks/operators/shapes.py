@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from .spatial import tile
 
 Point = tuple[int, int]
@@ -48,7 +49,7 @@ def substring(paths: DataFrame, by: str, low: float, high: float) -> DataFrame:
 
 
 def simplified(points: list[Point], tolerance: int) -> list[Point]:
-    """Douglas and Peucker, with squared distances compared exactly."""
+    """Douglas and Peucker, with squared distances to the line through the two kept points (or to the point, where these are one) compared exactly."""
     keep, stack = {0, len(points) - 1}, [(0, len(points) - 1)]
     while stack:
         a, b = stack.pop()
@@ -57,13 +58,8 @@ def simplified(points: list[Point], tolerance: int) -> list[Point]:
         most, far = Fraction(-1), -1
         for k in range(a + 1, b):
             wx, wy = points[k][0] - ax, points[k][1] - ay
-            dot, size = ux * wx + uy * wy, ux * ux + uy * uy
-            if dot <= 0 or not size:
-                d = Fraction(wx * wx + wy * wy)
-            elif dot >= size:
-                d = Fraction((wx - ux) ** 2 + (wy - uy) ** 2)
-            else:
-                d = Fraction((ux * wy - uy * wx) ** 2, size)
+            size = ux * ux + uy * uy
+            d = Fraction((ux * wy - uy * wx) ** 2, size) if size else Fraction(wx * wx + wy * wy)
             if d > most:
                 most, far = d, k
         if most > tolerance * tolerance:
@@ -81,7 +77,7 @@ def simplify(vertices: DataFrame, by: str, order: str, tolerance: int) -> DataFr
             rows = [(p, n, x, y) for p, points in zip(batch[by], batch["points"]) for n, (x, y) in enumerate(simplified([(int(v["x_mm"]), int(v["y_mm"])) for v in points], tolerance))]
             yield pd.DataFrame(rows, columns=[by, "n", "x_mm", "y_mm"])
 
-    return paths.mapInPandas(run, f"{by} {vertices.schema[by].dataType.simpleString()}, n long, x_mm long, y_mm long")
+    return spread(paths).mapInPandas(run, f"{by} {vertices.schema[by].dataType.simpleString()}, n long, x_mm long, y_mm long")
 
 
 def _turn(a: Point, b: Point, c: Point) -> int:

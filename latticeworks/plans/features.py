@@ -49,21 +49,19 @@ def street_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def network_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3, V5, Q12: paths cut where they meet, and the areas between them."""
-    from ..operators.shapes import faces
-
     paths = vertices(spark, sf_dir).select((F.floor(F.col("path") / 20)).alias("town"), "path", "seq", "x_mm", "y_mm")
     towns = paths.groupBy("town").agg(F.array_sort(F.collect_list(F.struct("path", "seq", "x_mm", "y_mm"))).alias("points"))
 
     def run(batches):
+        import numpy as np
         import pandas as pd
 
         for batch in batches:
             rows = []
             for town, own in zip(batch["town"], batch["points"]):
-                edges = [(regions.exact([(a["x_mm"], a["y_mm"])])[0], regions.exact([(b["x_mm"], b["y_mm"])])[0]) for a, b in zip(own, own[1:]) if a["path"] == b["path"] and (a["x_mm"], a["y_mm"]) != (b["x_mm"], b["y_mm"])]
-                cut = regions.noded(edges)
-                areas = faces(cut)
-                rows.append((town, len({p for e in cut for p in e}), len({tuple(sorted(e)) for e in cut}), len(areas), round(sum(regions.area2([r]) for r in areas))))
+                p = np.array([(v["path"], v["x_mm"], v["y_mm"]) for v in own], np.int64)
+                junctions, edges, areas, area2 = regions.network(np.column_stack([p[:-1, 1:], p[1:, 1:]])[p[1:, 0] == p[:-1, 0]])
+                rows.append((town, junctions, edges, areas, round(area2)))
             yield pd.DataFrame(rows, columns=["town", "junctions", "edges", "areas", "area2"])
 
     return spread(towns).mapInPandas(run, "town long, junctions long, edges long, areas long, area2 long")

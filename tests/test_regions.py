@@ -63,3 +63,23 @@ def test_noding_cuts_where_lines_meet():
     a, b, c = (exact([p])[0] for p in ((0, 0), (4, 0), (2, 2)))
     cross = (c, exact([(2, -2)])[0])
     assert len(noded([(a, b), cross])) == 4 and len(noded([(a, b), (exact([(1, 0)])[0], exact([(9, 0)])[0])])) == 4
+
+
+def test_networks_in_arrays_are_those_in_rationals():
+    import random
+
+    import numpy as np
+
+    from latticeworks.operators.regions import area2, network, noded
+    from latticeworks.operators.shapes import faces
+
+    rng = random.Random(8)
+    for size in (4, 9, 60, 200_000):
+        for n in (1, 2, 5, 14, 30):
+            ends = [tuple(rng.randrange(size) for _ in range(4)) for _ in range(n)]
+            cut = noded([((a, b), (c, d)) for a, b, c, d in ends if (a, b) != (c, d)])
+            areas = faces(cut)
+            got = network(np.array(ends, np.int64))
+            assert got[:3] == (len({p for e in cut for p in e}), len({tuple(sorted(e)) for e in cut}), len(areas))
+            assert abs(got[3] - float(sum(area2([r]) for r in areas))) < 0.01
+    assert network(np.empty((0, 4), np.int64)) == (0, 0, 0, 0.0)
