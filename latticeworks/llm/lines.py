@@ -37,8 +37,12 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     A null text is an empty one, of one blank line; null hosts are one host; repeated rows are pages of their own. An empty
     table gives no rows. Other columns stay, except that n_lines and n_dropped replace columns of these names.
     """
-    bad = materialize(boilerplate(pages, host, text, percent, min_pages), "boilerplate").select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
-    joined = pages.withColumn(text, F.coalesce(F.col(text), F.lit(""))).join(bad, F.col(host).eqNullSafe(F.col("__host")), "left")
-    lines = joined.withColumn("__lines", F.split(F.col(text), "\n", -1)).withColumn("__kept", F.when(F.col("__keys").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__keys", F.xxhash64(F.trim(x))))))
-    columns = [F.when(F.size("__kept") == F.size("__lines"), F.col(text)).otherwise(F.array_join("__kept", "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    return lines.select(*columns, F.size("__lines").cast("long").alias("n_lines"), (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"))
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in pages.columns):  # names of our own
+        mark += "_"
+    of, keys, all_, kept = (mark + x for x in ("host", "keys", "lines", "kept"))
+    bad = materialize(boilerplate(pages, host, text, percent, min_pages), "boilerplate").select(F.col("host").alias(of), F.col("keys").alias(keys))
+    joined = pages.withColumn(text, F.coalesce(F.col(text), F.lit(""))).join(bad, F.col(host).eqNullSafe(F.col(of)), "left")
+    lines = joined.withColumn(all_, F.split(F.col(text), "\n", -1)).withColumn(kept, F.when(F.col(keys).isNull(), F.col(all_)).otherwise(F.filter(all_, lambda x: ~F.array_contains(keys, F.xxhash64(F.trim(x))))))
+    columns = [F.when(F.size(kept) == F.size(all_), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    return lines.select(*columns, F.size(all_).cast("long").alias("n_lines"), (F.size(all_) - F.size(kept)).cast("long").alias("n_dropped"))

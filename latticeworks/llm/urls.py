@@ -1,6 +1,9 @@
 """URL filters: rules by host and path, and boosted trees on lexical features for the urls that no rule fits.
 
-The trees learn from labelled urls. Where none are given, the rules' own verdicts are the labels of the urls they fit.
+The trees learn from labelled urls. Where none are given, the rules' own verdicts are the labels of the urls they fit. These say little of other urls: the trees
+then don't see the top-level domain, by which rules tell urls apart, and judge by lexical features alone; ``held_out`` says how well.
+
+Statistics of suffixes (shares of blocked urls) that a row learns from come from rows of other hosts' folds, so that no row's own label is among its features.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from ._common import utf8
 from .gbt import Trees, fit
 
 
+#: The suffixes of host and path that have statistics; folds of hosts.
+SUFFIXES, FOLDS = ("top", "kind"), 5
+
+
 @dataclass(frozen=True)
 class Rule:
     """``block`` or ``allow`` a host with all its subdomains, where the path starts with ``path``."""
@@ -74,7 +81,7 @@ def features(batch: pa.RecordBatch, suffixes: dict[str, dict[str, tuple[float, f
         out += [size, digits, digits / np.maximum(size, 1), entropy, h[:, ord("-")] + h[:, ord("_")], h[:, ord(".")], h[:, ord("/")], h[:, ord("%")]]
         if name == "url":
             out += [h[:, ord("?")], h[:, ord("&")], h[:, ord("=")], h[:, ord("#")]]
-    table = [_rates(batch.column(c), suffixes.get(c, {})) for c in ("top", "kind")]
+    table = [_rates(batch.column(c), suffixes[c]) for c in SUFFIXES if c in suffixes]
     return np.column_stack([*out, *table]).astype(float)
 
 
@@ -94,24 +101,54 @@ class Model:
         return self.trees.score(features(batch, self.suffixes))
 
 
-def train(urls: DataFrame, rows: int = 20_000) -> Model:
-    """Learn from ``rows`` labelled urls, chosen by a hash. urls: url, verdict (``block`` or ``allow``)."""
-    labelled = urls.select("url", "verdict").where(F.col("verdict").isin("block", "allow"))
-    sample = labelled.orderBy(F.xxhash64("url"), "url", "verdict").limit(rows)  # so many rows, whatever the input
-    got = pa.Table.from_pandas(_view(sample).toPandas(), preserve_index=False).combine_chunks()
-    y = np.array([v == "block" for v in got["verdict"].to_pylist()], float)
-    suffixes = {}
-    for c in ("top", "kind"):
+def _shares(batch: pa.RecordBatch, y: np.ndarray, rows: np.ndarray, suffixes: tuple[str, ...]) -> dict[str, dict[str, tuple[float, float]]]:
+    """For each suffix, the share of blocked urls, smoothed, and of all urls, among some rows."""
+    out = {}
+    for c in suffixes:
         sums: dict[str, list[float]] = {}
-        for x, v in zip(got[c].to_pylist(), y):
+        for x, v in zip(batch.column(c).take(pa.array(rows)).to_pylist(), y[rows]):
             s = sums.setdefault(x, [0.0, 0])
             s[0] += v
             s[1] += 1
-        suffixes[c] = {x: ((b + 1) / (n + 2), n / len(y)) for x, (b, n) in sums.items()}
-    if not len(y):
-        return Model(fit(np.zeros((0, 32)), y), suffixes)
-    batch = got.select(["url", "host", "path", "top", "kind"]).to_batches()[0]
-    return Model(fit(features(batch, suffixes), y), suffixes)
+        out[c] = {x: ((b + 1) / (n + 2), n / max(len(rows), 1)) for x, (b, n) in sums.items()}
+    return out
+
+
+def _sample(urls: DataFrame, rows: int) -> tuple[pa.RecordBatch | None, np.ndarray, np.ndarray]:
+    """Labelled urls, chosen by a hash; which are blocked; and each one's fold, by its host."""
+    labelled = urls.select("url", "verdict").where(F.col("verdict").isin("block", "allow"))
+    sample = labelled.orderBy(F.xxhash64("url"), "url", "verdict").limit(rows)  # so many rows, whatever the input
+    view = _view(sample).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("long"))
+    got = pa.Table.from_pandas(view.toPandas(), preserve_index=False).combine_chunks()
+    y = np.array([v == "block" for v in got["verdict"].to_pylist()], float)
+    batch = got.select(["url", "host", "path", *SUFFIXES]).to_batches()[0] if len(y) else None
+    return batch, y, got["fold"].to_numpy().astype(np.int64) if len(y) else np.zeros(0, np.int64)
+
+
+def _learnt(batch: pa.RecordBatch | None, y: np.ndarray, fold: np.ndarray, rows: np.ndarray, suffixes: tuple[str, ...]) -> Model:
+    if batch is None or not len(rows):
+        return Model(fit(np.zeros((0, 32)), y[rows]), {c: {} for c in suffixes})
+    x, own = [], []
+    for f in np.unique(fold[rows]):
+        own.append(rows[fold[rows] == f])
+        x.append(features(batch.take(pa.array(own[-1])), _shares(batch, y, rows[fold[rows] != f], suffixes)))
+    return Model(fit(np.concatenate(x), y[np.concatenate(own)]), _shares(batch, y, rows, suffixes))
+
+
+def train(urls: DataFrame, rows: int = 20_000, suffixes: tuple[str, ...] = SUFFIXES) -> Model:
+    """Learn from ``rows`` labelled urls, chosen by a hash. urls: url, verdict (``block`` or ``allow``)."""
+    batch, y, fold = _sample(urls, rows)
+    return _learnt(batch, y, fold, np.arange(len(y)), suffixes)
+
+
+def held_out(urls: DataFrame, rows: int = 20_000, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[float, float]:
+    """The share of labelled urls that are judged right by trees that learnt from other hosts alone, and the share of the more frequent verdict."""
+    batch, y, fold = _sample(urls, rows)
+    right = 0.0
+    for f in np.unique(fold):
+        model, own = _learnt(batch, y, fold, np.flatnonzero(fold != f), suffixes), np.flatnonzero(fold == f)
+        right += float(((model.blocked(batch.take(pa.array(own))) >= 0.5) == (y[own] == 1)).sum())
+    return right / max(len(y), 1), max(y.mean(), 1 - y.mean()) if len(y) else 0.0
 
 
 def _judged(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -127,12 +164,13 @@ def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None
     the score is at least ``threshold``), score.
 
     pages: page_id, url. A null url, and one without ``://``, has an empty host and path. Repeated rows are judged alike. An
-    empty table gives no rows. Without labelled urls of both kinds, the score is the share of blocked ones. Other columns are left out.
+    empty table gives no rows. labelled: url, verdict; without it, the rules' verdicts on the urls they fit are learnt from, and the top-level domain isn't.
+    Without labelled urls of both kinds, the score is the share of blocked ones. Other columns are left out.
     """
     view = _view(pages.select("page_id", "url"))
     rule, said = matched(F.col("host"), F.col("path"), rules)
     view = view.withColumns({"rule": rule, "said": said})
-    model = train(view.select("url", F.col("said").alias("verdict")) if labelled is None else labelled)
+    model = train(view.select("url", F.col("said").alias("verdict")), suffixes=("kind",)) if labelled is None else train(labelled)
     kind = view.schema["page_id"].dataType.simpleString()
     scored = view.mapInArrow(_judged(model), f"page_id {kind}, host string, path string, rule string, said string, score double")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")

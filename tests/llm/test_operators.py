@@ -592,3 +592,72 @@ def test_search_skips_blocks_and_counts_null_ids(spark):
     ranked = collections.Counter()
     top = [(q, ranked[q], d, round(s, 5)) for q, _, d, s in want if not ranked.update([q]) and ranked[q] <= 3]
     assert [x[:3] for x in got] == [x[:3] for x in top] and all(abs(a[3] - b[3]) < 2e-5 for a, b in zip(got, top))
+
+
+def test_line_dedup_with_clashing_names(spark):
+    rows = [(k, f"line {k}\nSame line", "a", "x", "y", "z", "w") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __host string, __keys string, __LINES string, __kept string")
+    got = drop_boilerplate(df)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted(tuple(r) for r in got.collect()) == [(k, f"line {k}", "a", "x", "y", "z", "w", 2, 1) for k in range(9)]
+
+
+def test_url_trees_on_hosts_they_havent_seen(spark):
+    """Held-out accuracy by host, features of a url against plain ones, and shares of suffixes without a row's own label."""
+    import pyarrow as pa
+
+    from latticeworks.llm import urls as module
+
+    rows = [(f"http://h{k}.org/a/{'x' * (k % 5)}", "allow") for k in range(150)] + [(f"http://h{k}.org/{k}{k}{k}/1/2/3/4?a=1&b={k}", "block") for k in range(150, 300)]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    right, most = module.held_out(labelled)
+    assert right > 0.95 and most == 0.5
+    (view,) = pa.Table.from_pandas(module._view(spark.createDataFrame([("http://A.b-c.org/x1/y.HTM?q=1&r=2#z", "")], "url string, verdict string")).toPandas()).to_batches()
+    got = module.features(view, {"kind": {"HTM": (0.25, 0.5)}})[0]
+    plain = []
+    for name, t in (("url", "http://A.b-c.org/x1/y.HTM?q=1&r=2#z"), ("host", "a.b-c.org"), ("path", "/x1/y.HTM")):
+        n, digits = len(t), sum(c.isdigit() for c in t)
+        entropy = -sum(c / n * math.log2(c / n) for c in collections.Counter(t).values())
+        plain += [n, digits, digits / n, entropy, t.count("-") + t.count("_"), t.count("."), t.count("/"), t.count("%")]
+        plain += [t.count(c) for c in "?&=#"] if name == "url" else []
+    assert np.allclose(got, [*plain, 0.25, 0.5])
+    assert module.held_out(labelled.limit(0)) == (0.0, 0.0)
+
+
+def test_trees_and_statistics_against_plain_ones(spark, rows):
+    """Traversal of flat arrays against a walk, node by node; statistics of a text against plain counts."""
+    import pyarrow as pa
+
+    from latticeworks.llm._common import utf8
+    from latticeworks.llm.gbt import fit
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    trees = fit(x, ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float))
+    depth = int(np.log2(trees.value.shape[1]))
+
+    def walked(row):
+        total = trees.base
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value):
+            node = 0
+            for _ in range(depth):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += v[node - (2**depth - 1)]
+        return 1 / (1 + math.exp(-total))
+
+    assert np.allclose(trees.score(x), [walked(r) for r in x])
+    texts = [r[1] or "" for r in rows]
+    got = quality.statistics(*utf8(pa.array(texts)))
+    for t, values in zip(texts, got):
+        raw, w = t.encode(), WORD.findall(t.lower())
+        n, many = max(len(raw), 1), max(len(w), 1)
+        plain = [sum(raw.count(c.encode()) for c in g) / n for g in quality.GROUPS] + [sum(b >= 128 for b in raw) / n]
+        share = [c / n for c in collections.Counter(raw).values()]
+        size = [len(x.encode()) for x in WORD.findall(t)]
+        mean = sum(size) / many
+        own = [x.encode() for x in WORD.findall(t)]
+        lines = sum(1 for k in range(len(raw)) if not k or raw[k - 1] == 10)
+        upper = lambda b: 65 <= b <= 90
+        plain += [math.log1p(len(raw)), math.log1p(len(w)), -sum(p * math.log2(p) for p in share), mean, math.sqrt(max(sum(s * s for s in size) / many - mean**2, 0)), sum(s <= 3 for s in size) / many, sum(s >= 12 for s in size) / many]
+        plain += [sum(upper(o[0]) for o in own) / many, sum(len(o) > 1 and upper(o[1]) for o in own) / many, sum(a == b for a, b in zip(w, w[1:])) / many, len(set(w)) / many, math.log1p(lines), len(raw) / max(lines, 1)]
+        assert np.allclose(values, plain, atol=1e-9), t[:60]
