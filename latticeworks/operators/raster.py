@@ -121,11 +121,50 @@ def settle(field: DataFrame, through: Callable[[np.ndarray, np.ndarray, np.ndarr
     return state.select("i", "j", "now")
 
 
-def fill(field: DataFrame, rim: Column, side: int = 256) -> DataFrame:
+def fill(field: DataFrame, rim: Column, side: int = 256, epsilon: float = 0.0) -> DataFrame:
     """Each post raised to its spill: the least, over ways to a post of the rim, of the highest post on the way. As a fixpoint of
-    minima and maxima, which the order of rounds doesn't change."""
+    minima and maxima, which the order of rounds doesn't change. ``epsilon``: how much higher than the next post on its way each is at least, so that
+    what is filled drains."""
     start = field.select("i", "j", "value", F.when(rim, F.col("value").cast("double")).otherwise(F.lit(float("inf"))).alias("now"))
-    return settle(start, lambda now, beside, here, length: np.maximum(now, here), side).withColumnRenamed("now", "filled")
+    return settle(start, lambda now, beside, here, length: np.maximum(now + epsilon, here), side).withColumnRenamed("now", "filled")
+
+
+def course(field: DataFrame, start: Column, target: Column, side: int = 256) -> DataFrame:
+    """i, j, cost of the posts on the cheapest ways from a start to the posts of ``target``: each post points to the neighbour that its cost comes
+    through (ties by j, i), and pointers are followed by jumps of halving length, so rounds grow with the logarithm of the longest way."""
+    cost = materialize(least_cost(field, start, side).join(field.select("i", "j", "value", target.alias("target")), ["i", "j"]).where(F.col("cost") < float("inf")), "cost")
+    legs = neighbours(cost.withColumn("value", F.struct("value", "cost")))
+    length = F.when(F.col("diagonal"), F.sqrt(F.lit(2.0))).otherwise(F.lit(1.0))
+    through = legs.where("vb.cost < va.cost").groupBy("a").agg(F.min(F.struct((F.col("vb.cost") + (F.col("va.value") + F.col("vb.value")) / 2 * length).alias("c"), F.col("b.j").alias("j"), F.col("b.i").alias("i"))).alias("t"))
+    jumps = [materialize(through.select("a", F.struct(F.col("t.i").alias("i"), F.col("t.j").alias("j")).alias("b")), "jump")]
+    while not jumps[-1].isEmpty():
+        last = jumps[-1]
+        jumps.append(materialize(last.join(last.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), "jump"))
+    on = cost.where("target").select(F.struct("i", "j").alias("a"))
+    for jump in reversed(jumps[:-1]):
+        on = materialize(on.unionByName(on.join(jump, "a").select(F.col("b").alias("a"))).distinct(), "on")
+    for jump in jumps:
+        drop_table(jump)
+    return on.select("a.i", "a.j").join(cost.select("i", "j", "cost"), ["i", "j"])
+
+
+def flow_shares(field: DataFrame) -> DataFrame:
+    """i, j, slope, and up to two receivers with their shares (i1, j1, share1, i2, j2, share2): the steepest descent over the eight triangles around a
+    post (Tarboton, 1997). A post that no triangle descends from has none. Equal slopes go by the triangle's number, from the east counter-clockwise."""
+    ring = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+    near = neighbours(field).select("a", "va", "vb", (F.col("b.i") - F.col("a.i")).alias("di"), (F.col("b.j") - F.col("a.j")).alias("dj"))
+    at = near.groupBy("a", "va").agg(*(F.max(F.when((F.col("di") == x) & (F.col("dj") == y), F.col("vb"))).alias(f"v{k}") for k, (x, y) in enumerate(ring)))
+    facets = []
+    for n in range(8):
+        k, m = (n, (n + 1) % 8) if n % 2 == 0 else ((n + 1) % 8, n)  # the straight and the diagonal corner
+        s1, s2 = F.col("va") - F.col(f"v{k}"), F.col(f"v{k}") - F.col(f"v{m}")
+        r = F.when(s2 <= 0, F.lit(0.0)).when(s2 >= s1, F.lit(np.pi / 4)).otherwise(F.atan2(s2, s1))
+        s = F.when(s2 <= 0, s1).when(s2 >= s1, (F.col("va") - F.col(f"v{m}")) / F.sqrt(F.lit(2.0))).otherwise(F.sqrt(s1 * s1 + s2 * s2))
+        facets.append(F.struct((-s).alias("down"), F.lit(n).alias("n"), (r / (np.pi / 4)).alias("turn"), F.lit(ring[k][0]).alias("ki"), F.lit(ring[k][1]).alias("kj"), F.lit(ring[m][0]).alias("mi"), F.lit(ring[m][1]).alias("mj")))
+    best = at.select("a", F.array_min(F.filter(F.array(*facets), lambda f: f["down"] < 0)).alias("f")).where("f is not null")
+    share = lambda c, one: F.when(c > 0, one)
+    first, second = 1 - F.col("f.turn"), F.col("f.turn")
+    return best.select("a.i", "a.j", (-F.col("f.down")).alias("slope"), share(first, F.col("a.i") + F.col("f.ki")).alias("i1"), share(first, F.col("a.j") + F.col("f.kj")).alias("j1"), share(first, first).alias("share1"), share(second, F.col("a.i") + F.col("f.mi")).alias("i2"), share(second, F.col("a.j") + F.col("f.mj")).alias("j2"), share(second, second).alias("share2"))
 
 
 def least_cost(field: DataFrame, start: Column, side: int = 256) -> DataFrame:
@@ -141,11 +180,11 @@ def receivers(field: DataFrame) -> DataFrame:
     return down.select(F.col("a"), F.struct(F.col("r.i").alias("i"), F.col("r.j").alias("j")).alias("b"))
 
 
-def accumulate(field: DataFrame) -> DataFrame:
-    """Posts upstream of each post, itself included: by jumps of doubling length along receivers, so rounds grow with the logarithm of
+def accumulate(field: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Posts upstream of each post, itself included, or the sum of their weights (whole numbers): by jumps of doubling length along receivers, so rounds grow with the logarithm of
     the longest way. After round n, each post has a tie to every post within 2**n steps downstream."""
     jump = materialize(receivers(field), "jump")
-    count = materialize(field.select(F.struct("i", "j").alias("node"), F.lit(1).cast("long").alias("n")), "count")
+    count = materialize(field.select(F.struct("i", "j").alias("node"), (F.lit(1) if weight is None else weight).cast("long").alias("n")), "count")
     while not jump.isEmpty():
         sent = jump.join(count.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("more"))
         after = materialize(count.join(sent, "node", "left").select("node", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "count")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import spread
-from .spatial import tile
+from .spatial import in_regions, tile
 
 Point = tuple[int, int]
 
@@ -41,6 +41,19 @@ def crossings(segments: DataFrame, size: int, by: str | None = None) -> DataFram
     return crossed.select(c("l.id").alias("one"), c("r.id").alias("two"), F.rint(c("l.ax") + t * (c("l.bx") - c("l.ax"))).cast("long").alias("x_mm"), F.rint(c("l.ay") + t * (c("l.by_") - c("l.ay"))).cast("long").alias("y_mm"))
 
 
+def centres(posts: DataFrame, regions: DataFrame, size: int) -> DataFrame:
+    """name, id, depth: of the posts (id with i and j, x_mm, y_mm) inside a region (name, ring), the one farthest from the outline, to a thousandth; ties by j, i."""
+    inside = in_regions(posts, regions, size).select("name", "id").distinct().join(posts, "id")
+    ring = F.transform("ring", lambda p, k: F.struct(p.alias("a"), F.coalesce(F.get("ring", k + 1), F.get("ring", F.lit(0))).alias("b")))
+    sides = regions.select("name", F.explode(ring).alias("s")).select("name", F.col("s.a.x").cast("double").alias("ax"), F.col("s.a.y").cast("double").alias("ay"), F.col("s.b.x").cast("double").alias("bx"), F.col("s.b.y").cast("double").alias("by_"))
+    ux, uy, wx, wy = F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"), F.col("x_mm") - F.col("ax"), F.col("y_mm") - F.col("ay")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (ux * wx + uy * wy) / (ux * ux + uy * uy)))
+    far = F.sqrt((wx - t * ux) * (wx - t * ux) + (wy - t * uy) * (wy - t * uy))
+    deep = inside.join(sides.where("ax != bx or ay != by_"), "name").groupBy("name", "id").agg(F.round(F.min(far), 3).alias("depth"))
+    best = deep.groupBy("name").agg(F.min(F.struct((-F.col("depth")).alias("d"), F.col("id.j").alias("j"), F.col("id.i").alias("i"), "id")).alias("b"))
+    return best.select("name", "b.id", (-F.col("b.d")).alias("depth"))
+
+
 def substring(paths: DataFrame, by: str, low: float, high: float) -> DataFrame:
     """The part of each path between two fractions of its length, as segments (k, from and to along the path)."""
     total = F.max(F.col("before") + F.col("length")).over(Window.partitionBy(by))

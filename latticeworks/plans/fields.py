@@ -209,6 +209,35 @@ def basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.basins(field(spark, sf_dir))
 
 
+@query()
+def flood_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fill in which each post drains by a quarter at least."""
+    return raster.fill(raster.with_rim(field(spark, sf_dir)), F.col("rim"), epsilon=0.25).select("i", "j", "filled")
+
+
+@query()
+def discharge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: what falls on all posts upstream, along steepest receivers."""
+    return raster.accumulate(field(spark, sf_dir), F.col("i") + F.col("value"))
+
+
+@query()
+def route_course(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts on the cheapest ways from a corner to the east edge's posts of every tenth row."""
+    f = field(spark, sf_dir)
+    return raster.course(f, (F.col("i") == 0) & (F.col("j") == 0), (F.col("i") == 39) & (F.pmod("j", F.lit(10)) == 9)).select("i", "j", F.round("cost", 6).alias("cost"))
+
+
+_TURNS = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+_FACETS = ", ".join(f"({n}, {k[0]}, {k[1]}, {m[0]}, {m[1]})" for n in range(8) for k, m in [[_TURNS[n], _TURNS[(n + 1) % 8]][:: 1 if n % 2 == 0 else -1]])
+
+
+@query(sql(f"WITH t AS (SELECT a.i, a.j, n, ki, kj, mi, mj, a.value - k.value AS s1, k.value - m.value AS s2, a.value - m.value AS s3 FROM field a CROSS JOIN (VALUES {_FACETS}) f(n, ki, kj, mi, mj) JOIN field k ON k.i = a.i + ki AND k.j = a.j + kj JOIN field m ON m.i = a.i + mi AND m.j = a.j + mj), s AS (SELECT *, CASE WHEN s2 <= 0 THEN 0 WHEN s2 >= s1 THEN 1 ELSE atan2(s2, s1) / (pi() / 4) END AS turn, CASE WHEN s2 <= 0 THEN s1 WHEN s2 >= s1 THEN s3 / sqrt(2.0) ELSE sqrt(s1 * s1 + s2 * s2) END AS slope FROM t), b AS (SELECT * FROM s WHERE slope > 0 QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY slope DESC, n) = 1) SELECT i, j, round(slope, 6) AS slope, CASE WHEN turn < 1 THEN i + ki END AS i1, CASE WHEN turn < 1 THEN j + kj END AS j1, CASE WHEN turn < 1 THEN round(1 - turn, 6) END AS share1, CASE WHEN turn > 0 THEN i + mi END AS i2, CASE WHEN turn > 0 THEN j + mj END AS j2, CASE WHEN turn > 0 THEN round(turn, 6) END AS share2 FROM b", "field"))
+def flow_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to two receivers of each post, with their shares of its flow, by the steepest triangle."""
+    return raster.flow_shares(field(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("slope", "share1", "share2")})
+
+
 @query()
 def mask_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of where a field is above a level, for each zone of rows."""

@@ -245,6 +245,49 @@ def give_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.independent(p.select("id"), ties)
 
 
+@query()
+def clump_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of members of one parent that are too near one another, the earlier stays; members of different parents don't see one another."""
+    p = points(spark, sf_dir)
+    met = spatial.within_radius(p, p.select("id", "x_mm", "y_mm"), 12_000).where("site < id")
+    parent = p.select("id", F.col("nation").alias("parent"))
+    ties = met.join(parent, "id").join(parent.select(F.col("id").alias("site"), F.col("parent").alias("other")), "site").where("parent = other").select("id", F.col("site").alias("ahead"))
+    return graph.independent(p.select("id"), ties)
+
+
+@query(sql("SELECT id, CAST(ceil((2 * x_mm - 4000) / 8000.0) AS BIGINT) AS i, CAST(ceil((2 * y_mm - 4000) / 8000.0) AS BIGINT) AS j FROM points", "points"))
+def nearest_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The post nearest to each point on a lattice of 4 m, ties to the lower one."""
+    return points(spark, sf_dir).select("id", *(F.ceil((2 * F.col(c) - 4000) / F.lit(8000.0)).alias(n) for n, c in (("i", "x_mm"), ("j", "y_mm"))))
+
+
+@query(
+    sql(
+        """WITH g AS (SELECT i, j, i * 4000 AS x, j * 4000 AS y FROM range(64) a(i), range(64) b(j)),
+    h AS (SELECT name, i, j, x, y, x0, y0, x1, y1 FROM g JOIN boxes ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND (x1 - x0) * (y1 - y) - (x - x0) * (y1 - y0) >= 0),
+    d AS (SELECT name, i, j, least((x - x0) ** 2, (y - y0) ** 2, ((x1 - x0) * (y1 - y) - (x - x0) * (y1 - y0)) ** 2 / ((x1 - x0) ** 2 + (y1 - y0) ** 2)) AS d2 FROM h)
+    SELECT name, i, j, round(sqrt(d2), 3) AS depth FROM d QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(sqrt(d2), 3) DESC, j, i) = 1""",
+        "boxes",
+    )
+)
+def region_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The post of each region (a triangle) that lies farthest from its outline, ties to the lower and then the left one."""
+    from ..operators import raster
+
+    ring = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x0", "y1"))))
+    posts = raster.posts(spark, 64, 64).select(F.struct("i", "j").alias("id"), (F.col("i") * 4000).alias("x_mm"), (F.col("j") * 4000).alias("y_mm"))
+    return shapes.centres(posts, boxes(spark, sf_dir).select("name", ring.alias("ring")), 32_000).select("name", "id.i", "id.j", F.round("depth", 3).alias("depth"))
+
+
+@query(sql("SELECT p.id, 'crowd/' || lower(kind) || '/' || p.id AS name, p.x_mm, p.y_mm FROM points p WHERE kind IN ('BUILDING', 'MACHINERY') AND EXISTS (SELECT 1 FROM boxes b WHERE b.name < 'NATION_3' AND p.x_mm BETWEEN b.x0 AND b.x1 AND p.y_mm BETWEEN b.y0 AND b.y1)", "points", "boxes"))
+def instances_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step's read of instances: by taxon, within regions, and some columns."""
+    taxa = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "kind string")
+    own = points(spark, sf_dir).join(taxa, "kind", "left_semi").select("id", F.concat_ws("/", F.lit("crowd"), F.lower("kind"), "id").alias("name"), "x_mm", "y_mm")
+    inside = spatial.in_boxes(own.select("id", "x_mm", "y_mm"), boxes(spark, sf_dir).where("name < 'NATION_3'"), 32_000)
+    return own.join(inside.select("id").distinct(), "id", "left_semi")
+
+
 def _wood() -> place.Scatter:
     return place.Scatter("trees", 4000, (("oak", 2_000_000), (("ash", "birch", "alder"), 1_000_000)), scale=(0.8, 1.2), members=(0, 3), radius=1500, shrink=0.25)
 

@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, as in tests, a new temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, it is a new temporary one if all of Spark is in one
+    process, as in tests, and else an error: each machine would have a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("storage.shared: set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="latticeworks-")
         shared_dir.own = base
     return base.rstrip("/")

@@ -129,3 +129,66 @@ def test_build_with_failures(spark, tmp_path):
     assert got["bad"].startswith("failed") and got["after"] == "skipped" and got["fine"] == "unstable"
     assert read_build(spark, path) == {}
     assert explain("after", steps, got)[:2] == [("after", "skipped"), ("bad", got["bad"])] and explain("after", steps, got)[-1] == ("source", "source")
+
+
+def test_an_edited_step_is_made_again(spark, tmp_path):
+    """Literals, names, nested functions, defaults and what is closed over are in the key; the same text again is not an edit."""
+    import functools
+
+    path, source = str(tmp_path / "build"), {"source": spark.range(9)}
+
+    def over(limit):
+        return lambda d: d.where(F.col("id") > limit)
+
+    makes = [lambda d: d.where("id > 1"), lambda d: d.where("id > 2"), over(3), over(4), lambda d, least=5: d.where(F.col("id") > least), lambda d, least=6: d.where(F.col("id") > least), functools.partial(lambda n, d: d.limit(n), 2), functools.partial(lambda n, d: d.limit(n), 1), lambda d: (lambda x: x.where("id > 7"))(d)]
+    counts = []
+    for make in makes:
+        assert build(spark, path, source, [Step("t", make, ["source"])])["t"] in ("made", "cut_off")
+        counts.append(read_build(spark, path)["t"].count())
+        assert build(spark, path, source, [Step("t", make, ["source"])]) == {"t": "reused"}
+    assert counts == [7, 6, 5, 4, 3, 2, 2, 1, 1]
+    assert build(spark, path, source, [Step("t", over(3), ["source"])])["t"] == "made" and build(spark, path, source, [Step("t", over(3), ["source"])])["t"] == "reused"
+
+
+def test_a_stopped_swap_leaves_a_whole_build(spark, tmp_path, monkeypatch):
+    from latticeworks.sinks import build as module
+
+    path, source = str(tmp_path / "build"), {"source": spark.range(5)}
+    build(spark, path, source, [Step("t", lambda d: d.where("id > 1"), ["source"])])
+    step = [Step("t", lambda d: d.where("id > 2"), ["source"])]
+    jvm_path, swap = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, module._swap
+
+    def stopped(*a):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(module, "_swap", stopped)  # before the rename
+    with pytest.raises(KeyboardInterrupt):
+        build(spark, path, source, step)
+    assert read_build(spark, path)["t"].count() == 3 and check(spark, path) == []
+    pointers = module._pointers
+    monkeypatch.setattr(module, "_swap", swap)
+    monkeypatch.setattr(module, "_pointers", lambda *a, calls=[]: (calls.append(1), stopped() if len(calls) > 2 else pointers(*a))[1])  # after the rename, before older pointers go
+    with pytest.raises(KeyboardInterrupt):
+        build(spark, path, source, step)
+    monkeypatch.setattr(module, "_pointers", pointers)
+    assert sorted(pointers(spark, path)) == [1, 2] and read_build(spark, path)["t"].count() == 2
+    fs = jvm_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert fs.exists(jvm_path(path))
+    monkeypatch.setattr(module, "_pointers", lambda *a: [1])  # a writer that has not seen the second pointer
+    with pytest.raises(RuntimeError, match="taken"):
+        module.build(spark, path, source, [Step("t", lambda d: d.where("id > 3"), ["source"])])
+
+
+def test_shared_folder_is_never_a_machines_own_on_a_cluster(monkeypatch):
+    from latticeworks import storage
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        storage.shared_dir(Session())

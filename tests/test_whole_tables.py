@@ -129,3 +129,63 @@ def test_tiles_make_no_difference(spark, land, side):
     got = {(r.i, r.j): r.cost for r in raster.least_cost(f, (F.col("i") == 3) & (F.col("j") == 4), side).collect()}
     assert got == pytest.approx(cost)
     assert raster.fill(f.limit(0), F.col("rim"), side).count() == 0
+
+
+def test_fill_drains(spark, land):
+    path, z = land
+    todo = [(v, p) for p, v in z.items() if len(around(p, z)) < 8]
+    heapq.heapify(todo)
+    want = {}
+    while todo:
+        v, p = heapq.heappop(todo)
+        if p not in want:
+            want[p] = v
+            for q in around(p, z):
+                heapq.heappush(todo, (max(v + 0.25, z[q]), q))
+    assert {(r.i, r.j): r.filled for r in catalogue.QUERIES["flood_epsilon"](spark, path).collect()} == want
+
+
+def test_discharge_over_all_posts(spark, parts):
+    z = heights()
+    sums = {p: int(p[0] + z[p]) for p in z}
+    for p in sorted(z, key=z.get, reverse=True):
+        lower = [((z[q] - z[p]) / (math.sqrt(2) if p[0] != q[0] and p[1] != q[1] else 1), q[1], q[0]) for q in around(p, z) if z[q] < z[p]]
+        if lower:
+            _, j, i = min(lower)
+            sums[i, j] += sums[p]
+    assert {(r.i, r.j): r.n for r in catalogue.QUERIES["discharge"](spark, parts).collect()} == sums
+
+
+def test_courses_are_cheapest_ways(spark, land):
+    """What is on the ways is joined up from the corner to each target, at the cost that Dijkstra gives."""
+    path, z = land
+    cost, todo = {}, [(0.0, (0, 0))]
+    while todo:
+        c, p = heapq.heappop(todo)
+        if p not in cost:
+            cost[p] = c
+            for q in around(p, z):
+                heapq.heappush(todo, (c + (z[p] + z[q]) / 2 * math.hypot(p[0] - q[0], p[1] - q[1]), q))
+    got = {(r.i, r.j): r.cost for r in catalogue.QUERIES["route_course"](spark, path).collect()}
+    targets = {p for p in z if p[0] == 39 and p[1] % 10 == 9}
+    assert targets <= set(got) and (0, 0) in got and all(got[p] == pytest.approx(cost[p], abs=1e-5) for p in got)
+    for p in got:
+        steps = [q for q in around(p, z) if q in got and abs(cost[q] + (z[p] + z[q]) / 2 * math.hypot(p[0] - q[0], p[1] - q[1]) - cost[p]) < 1e-6]
+        assert p == (0, 0) or steps
+    on = set(targets)
+    while more := {q for p in on for q in around(p, z) if q in got and abs(cost[q] + (z[p] + z[q]) / 2 * math.hypot(p[0] - q[0], p[1] - q[1]) - cost[p]) < 1e-6} - on:
+        on |= more
+    assert set(got) <= on
+
+
+def test_members_of_a_clump_in_order(spark, data):
+    from latticeworks.plans.views import points
+
+    data = data.replace("sf0.001", "sf0.01")
+    rows = [(r.id, r.x_mm, r.y_mm, r.nation) for r in points(spark, data).collect()]
+    kept = []
+    for r in sorted(rows):
+        if all(k[3] != r[3] or (k[1] - r[1]) ** 2 + (k[2] - r[2]) ** 2 > 144_000_000 for k in kept):
+            kept.append(r)
+    got = {r.id for r in catalogue.QUERIES["clump_order"](spark, data).collect()}
+    assert got == {r[0] for r in kept} and len(got) < len(rows)
