@@ -64,3 +64,51 @@ def test_stages_on_an_empty_table(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         now = materialize(stage(spark, now, folder), "empty")
         assert now.count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark, data, tmp_path):
+    """Each stage against plain loops over rows, not ids: no row goes or stays with a namesake."""
+    import collections
+
+    from .test_operators import brute_leaks
+
+    texts = [r[1] for r in documents(3)][:24]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").limit(3).collect()]
+    rows = [(k % 7 if k % 5 else None, t, "en", f"src{k % 2}", len(t or "")) for k, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (rows[3][0], rows[4][1], "en", "src1", 1), (None, rows[3][1], "de", None, None), (1, f"{texts[9]} {items[0][1]}", "en", "a", 2), (1, f"{texts[14]} plain words", None, None, 3), (None, items[1][1], "en", "b", 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{data}/{t}.parquet").limit(3 if t == "benchmark" else 1000).write.parquet(f"{tmp_path}/{t}.parquet")
+    bag = lambda found: collections.Counter((r[0], r[1] or "") for r in found)
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    first = materialize(stages["quality classifier"](spark, now, str(tmp_path)), "odd")
+    kept = [tuple(r) for r in first.collect()]
+    alive = {t for _, t in bag(kept)}
+    assert bag(kept) == collections.Counter({k: n for k, n in bag(rows).items() if k[1] in alive}) and len(kept) > 10
+    first = spark.createDataFrame(rows, schema).repartition(2)  # all rows from here on
+
+    lines = materialize(stages["line dedup"](spark, first, str(tmp_path)), "odd")
+    got = [tuple(r) for r in lines.collect()]
+    as_given = {(str(r[0]), r[1] or "") for r in rows}
+    assert sorted((str(r[0]), r[1]) for r in got) == [x for x in brute_lines(rows, 8, 5) if x[1].strip(" \n\r\t") or x in as_given]
+
+    near = materialize(stages["n-gram Jaccard join"](spark, lines, str(tmp_path)), "odd")
+    numbered = [(k, r[1]) for k, r in enumerate(got)]
+    classes = collections.defaultdict(list)
+    for k, c, _ in brute_near(numbered):
+        classes[c].append(got[int(k)])
+    stay = [tuple(r) for r in near.collect()]
+    assert len(stay) == len(classes) < len(got)
+    least = lambda own: min((r[0] is None, r[0] or 0) for r in own)
+    assert collections.Counter((r[0] is None, r[0] or 0) for r in stay) == collections.Counter(least(own) for own in classes.values())
+    assert not bag(stay) - bag(got)
+
+    clean = materialize(stages["benchmark decontamination"](spark, near, str(tmp_path)), "odd")
+    gone = {int(k) for k, *_ in brute_leaks([(k, r[1]) for k, r in enumerate(stay)], items)}
+    assert gone and bag(map(tuple, clean.collect())) == bag(r for k, r in enumerate(stay) if k not in gone)
+
+    pieces = stages["packing"](spark, clean, str(tmp_path)).collect()
+    check_packed(pieces, [(r.doc_id, ids_of("byte_bpe_50k.json", r.text, 1)) for r in clean.collect()], 2048)
