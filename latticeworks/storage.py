@@ -48,8 +48,14 @@ def parallelism(df: DataFrame, bytes_a_task: int = 64 << 20) -> int:
 
 
 def spread(df: DataFrame, bytes_a_task: int = 1 << 20) -> DataFrame:
-    """The same rows dealt to as many tasks as work on each row needs, rather than to as few as its bytes would fit."""
-    return df.repartition(parallelism(df, bytes_a_task))
+    """The same rows dealt to as many tasks as work on each row needs, rather than to as few as its bytes would fit: by the size of the files that
+    ``df`` reads, as what Spark expects of joins is often far too much."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    size = 0
+    while leaves.hasNext():
+        own = int(str(leaves.next().stats().sizeInBytes()))
+        size += own if own < 1 << 60 else 0  # beyond, Spark doesn't know
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_a_task)))
 
 
 @contextlib.contextmanager

@@ -26,3 +26,13 @@ def test_clear(spark):
     assert place in kept.inputFiles()[0]
     clear(spark)
     assert not spark.sparkContext._jvm.java.io.File(place).exists()
+
+
+def test_spread_goes_by_what_is_read(spark, data):
+    """Not by what Spark expects of joins, which multiplies."""
+    from latticeworks.storage import spread
+
+    own = spark.read.parquet(f"{data}/nation.parquet")
+    many = own.join(own.withColumnRenamed("n_name", "a"), "n_regionkey").join(own.withColumnRenamed("n_name", "b"), "n_regionkey")
+    assert spread(many).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spread(many, 64).rdd.getNumPartitions() > 100 and spread(own, 1 << 30).count() == 25
