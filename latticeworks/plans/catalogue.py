@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, features, fields, places, scenes, tables  # noqa: F401  they register their queries
+from . import checks, features, fields, lands, places, scenes, tables  # noqa: F401  they register their queries
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "chunk_report"
