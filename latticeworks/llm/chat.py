@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 START, SEP, CUT, END = "<|im_start|>", "<|im_sep|>", "<|im_cut|>", "<|im_end|>\n"
 #: What may follow the first character of a control string (fixed values).
 _TAIL = r"(?=\||/?s>|/?INST\]|<|/?SYS>>|start_of_turn>|end_of_turn>)"
+#: Characters that spans are looked up in at a time.
+_CHUNK = 4096
 
 
 def escape(text: Column) -> Column:
@@ -47,9 +49,20 @@ def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
         own = F.array(F.struct(start.alias("start"), F.length(p["body"]).alias("length")))
         return F.struct((start + F.length(p["body"])).alias("at"), F.when(p["loss"], F.concat(at["loss"], own)).otherwise(at["loss"]).alias("loss"))
 
-    pieces = sorted_.select("conv_id", F.transform("turns", piece).alias("pieces"))
+    def after(at: Column, part: Column) -> Column:
+        return F.struct((at["at"] + part["at"]).alias("at"), F.concat(at["starts"], F.array(at["at"])).alias("starts"))
+
+    # A fold copies the array it appends to, so it goes over sqrt(n) pieces at a time, and then over the sqrt(n) parts' lengths.
     zero = F.expr("named_struct('at', 0, 'loss', cast(array() as array<struct<start: int, length: int>>))")
-    return pieces.select("conv_id", F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(END)).alias("formatted"), F.aggregate("pieces", zero, spans)["loss"].alias("loss"))
+    step = F.ceil(F.sqrt(F.size("pieces").cast("double"))).cast("int")
+    parts = F.transform(F.sequence(F.lit(1), F.size("pieces"), step), lambda k: F.aggregate(F.slice("pieces", k, step), zero, spans))
+    starts = F.aggregate("parts", F.expr("named_struct('at', 0, 'starts', cast(array() as array<int>))"), after)["starts"]
+    # Zipped, so that a start is looked up and not worked out again for each span.
+    moved = F.transform(F.arrays_zip("parts", "starts"), lambda z: F.transform(z["parts"]["loss"], lambda s: F.struct((s["start"] + z["starts"]).alias("start"), s["length"].alias("length"))))
+
+    pieces = sorted_.select("conv_id", F.transform("turns", piece).alias("pieces"))
+    joined = pieces.select("conv_id", F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(END)).alias("formatted"), parts.alias("parts"))
+    return joined.withColumn("starts", starts).select("conv_id", "formatted", F.flatten(moved).alias("loss"))
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
@@ -60,5 +73,13 @@ def read_chats(chats: DataFrame) -> DataFrame:
         role, body = F.substr(block, F.lit(1), at - 1), F.substr(block, at + len(SEP), F.length(block) - at - len(SEP) - len(END) + 1)
         return F.transform(F.split(body, r"<\|im_cut\|>", -1), lambda x: F.struct(unescape(role).alias("role"), unescape(x).alias("text")))
 
+    def under(chunks: Column, s: Column) -> Column:
+        """A span's text, from the chunks it lies in: to reach into a string is to walk there from its start."""
+        first, last = F.floor(s["start"] / _CHUNK).cast("int"), F.floor((s["start"] + s["length"]) / _CHUNK).cast("int")
+        return F.substr(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), s["start"] % _CHUNK + 1, s["length"])
+
+    chunks = F.transform(F.sequence(F.lit(0), F.length("formatted"), F.lit(_CHUNK)), lambda k: F.substr(F.col("formatted"), k + 1, F.lit(_CHUNK)))
+    # The array of one holds the chunks, so that they are cut once and not for each span.
+    trained = F.transform(F.array(chunks), lambda c: F.transform("loss", lambda s: unescape(under(c, s))))
     blocks = F.slice(F.split("formatted", r"<\|im_start\|>", -1), F.lit(2), F.size(F.split("formatted", r"<\|im_start\|>", -1)))
-    return chats.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"), F.transform("loss", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))).alias("trained"))
+    return chats.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"), F.get(trained, F.lit(0)).alias("trained"))

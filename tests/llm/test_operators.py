@@ -221,6 +221,15 @@ def test_chat(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_of_a_long_conversation(spark):
+    n = 40_000
+    role = F.when(F.col("id") % 3 == 0, "user").otherwise("assistant")
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("</s> "), F.col("id").cast("string")).alias("text"))
+    got = read_chats(format_chats(turns.repartition(5))).first()
+    assert [t.text for t in got.turns] == [f"</s> {i}" for i in range(n)]
+    assert list(got.trained) == [f"</s> {i}" for i in range(n) if i % 3]
+
+
 def test_escape_is_reversible(spark):
     import random
 
