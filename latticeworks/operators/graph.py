@@ -35,17 +35,56 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
 
 
+class _Gathered:
+    """Rows that come a table a round, read as one. After every eight tables all are written as one, so that plans don't grow with the rounds."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def add(self, table: DataFrame) -> None:
+        self.tables.append(table)
+        if len(self.tables) > 8:
+            whole = materialize(self.rows(), "gathered")
+            for t in self.tables:
+                drop_table(t)
+            self.tables = [whole]
+
+    def rows(self) -> DataFrame:
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+
 def levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """node, level: the least number of edges a -> b from any of the starts (node), by breadth-first rounds."""
-    known = materialize(starts.select("node").distinct().withColumn("level", F.lit(0).cast("long")), "levels")
-    front, n = known, 0
+    known, n = _Gathered(), 0
+    known.add(materialize(starts.select("node").distinct().withColumn("level", F.lit(0).cast("long")), "levels"))
     while True:
         n += 1
+        front = known.rows().where(F.col("level") == n - 1)
         reached = front.join(edges.select(F.col("a").alias("node"), F.col("b").alias("to")), "node").select(F.col("to").alias("node")).distinct()
-        front = materialize(reached.join(known, "node", "left_anti").withColumn("level", F.lit(n).cast("long")), "levels")
-        if front.isEmpty():
-            return known
-        known = known.unionByName(front)
+        fresh = materialize(reached.join(known.rows(), "node", "left_anti").withColumn("level", F.lit(n).cast("long")), "levels")
+        if fresh.isEmpty():
+            return known.rows()
+        known.add(fresh)
+
+
+def causes(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """node, cause, chain: for each changed node (node) and each node it reaches over edges a -> b, itself among them, a shortest chain from one to the
+    other, of those the least. Breadth-first rounds, one an edge of the longest chain; a round's rows come from the round's before alone."""
+    known, n = _Gathered(), 0
+    known.add(materialize(changed.select("node").distinct().select("node", F.col("node").alias("cause"), F.array("node").alias("chain")), "causes"))
+    onward = edges.where("a is not null and b is not null").select(F.col("a").alias("node"), F.col("b").alias("to"))
+    while True:
+        n += 1
+        front = known.rows().where(F.size("chain") == n)
+        reached = front.join(onward, "node").groupBy(F.col("to").alias("node"), "cause").agg(F.min("chain").alias("chain"))
+        fresh = reached.join(known.rows().select("node", "cause"), ["node", "cause"], "left_anti").select("node", "cause", F.concat("chain", F.array("node")).alias("chain"))
+        fresh = materialize(fresh, "causes")
+        if fresh.isEmpty():
+            return known.rows()
+        known.add(fresh)
 
 
 def relax(values: DataFrame, edges: DataFrame, through) -> DataFrame:
@@ -82,15 +121,15 @@ def depths(edges: DataFrame) -> DataFrame:
 def independent(rows: DataFrame, ties: DataFrame) -> DataFrame:
     """Ids that are kept if a row goes where one ahead of it (ties: id, ahead) is kept. In each round, rows with nothing undecided ahead are
     kept or go; the result is that of the sequence."""
-    left, ahead, kept = materialize(rows.select("id"), "left"), materialize(ties.distinct(), "ties"), None
+    left, ahead, kept = materialize(rows.select("id"), "left"), materialize(ties.distinct(), "ties"), _Gathered()
     while not left.isEmpty():
         free = materialize(left.join(ahead.select("id").distinct(), "id", "left_anti"), "free")
-        kept = free if kept is None else kept.unionByName(free)
         gone = ahead.join(free.select(F.col("id").alias("ahead")), "ahead", "left_semi").select("id").distinct()
         after = materialize(left.join(free, "id", "left_anti").join(gone, "id", "left_anti"), "left")
         still = ahead.join(after, "id", "left_semi").join(after.select(F.col("id").alias("ahead")), "ahead", "left_semi")
         still = materialize(still.select("id", "ahead"), "ties")
+        kept.add(free)
         drop_table(left)
         drop_table(ahead)
         left, ahead = after, still
-    return kept if kept is not None else rows.select("id")
+    return kept.rows() if kept.tables else rows.select("id")

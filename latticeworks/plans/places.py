@@ -158,6 +158,13 @@ def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(_edges(spark, sf_dir), spark.range(1, 2).withColumnRenamed("id", "node"))
 
 
+@query()
+def cause_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For all that a changed part reaches, which changed parts reach it, and a shortest chain from each."""
+    changed = table(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_partkey").alias("node"))
+    return graph.causes(_edges(spark, sf_dir), changed).select("node", "cause", F.array_join("chain", " > ").alias("chain"), F.size("chain").cast("long").alias("length"))
+
+
 @query(f"WITH e AS ({_EDGES}), d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node) SELECT round(avg(CASE WHEN degree >= 4 THEN 1.0 ELSE 0.0 END), 6) AS four_way, round(avg(CASE WHEN degree = 3 THEN 1.0 ELSE 0.0 END), 6) AS three_way, round(avg(CASE WHEN degree = 1 THEN 1.0 ELSE 0.0 END), 6) AS dead_ends FROM d")
 def junction_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of junctions by degree."""

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from latticeworks.plans import catalogue
+from latticeworks.plans import catalogue, places
 
 FAR = 150_000
 
@@ -189,3 +189,35 @@ def test_members_of_a_clump_in_order(spark, data):
             kept.append(r)
     got = {r.id for r in catalogue.QUERIES["clump_order"](spark, data).collect()}
     assert got == {r[0] for r in kept} and len(got) < len(rows)
+
+
+def test_cause_chains_are_those_of_breadth_first_search(spark, data):
+    """On the query's own table: of the shortest chains from each changed part, the least."""
+    to = {}
+    for r in places._edges(spark, data).collect():
+        to.setdefault(r.a, []).append(r.b)
+    want = {}
+    for start in (r[0] for r in spark.read.parquet(f"{data}/part.parquet").where("p_size = 7").select("p_partkey").collect()):
+        front = {start: (start,)}
+        while front:
+            want |= {(node, start): chain for node, chain in front.items()}
+            after = {}
+            for chain in sorted(front.values()):
+                for b in to.get(chain[-1], ()):
+                    if (b, start) not in want and b not in after:
+                        after[b] = (*chain, b)
+            front = after
+    got = {(r.node, r.cause): r.chain for r in places.cause_chains(spark, data).collect()}
+    assert len(got) > 10 and got == {k: " > ".join(map(str, c)) for k, c in want.items()}
+
+
+def test_rounds_are_gathered_without_loss(spark):
+    """Ways longer than the tables that are read as one."""
+    from latticeworks.operators import graph
+
+    line = spark.range(25).selectExpr("id as a", "id + 1 as b")
+    start = spark.createDataFrame([(0,), (20,)], "node long")
+    assert {(r.node, r.level) for r in graph.levels(line, start.where("node = 0")).collect()} == {(k, k) for k in range(26)}
+    assert {(r.node, r.cause): list(r.chain) for r in graph.causes(line, start).collect()} == {(k, c): list(range(c, k + 1)) for c in (0, 20) for k in range(c, 26)}
+    ties = spark.range(1, 26).selectExpr("id", "id - 1 as ahead")
+    assert {r.id for r in graph.independent(spark.range(26).toDF("id"), ties).collect()} == set(range(0, 26, 2))
