@@ -109,9 +109,13 @@ def apply_changes(rows: DataFrame, edits: DataFrame, key: str, column: str) -> D
 
 
 def conflicts(writes: DataFrame, change: str, path: str) -> DataFrame:
-    """Pairs of changes that write one path, or a path and one of its prefixes. Each path meets its prefixes as an equi-join."""
-    prefixes = writes.select(F.col(change).alias("other"), F.explode(F.expr(f"transform(sequence(1, size(split({path}, '/'))), n -> array_join(slice(split({path}, '/'), 1, n), '/'))")).alias("prefix"), F.col(path).alias("longer"))
-    met = writes.join(prefixes, (F.col(path) == F.col("prefix")) & (F.col(change) != F.col("other")))
+    """Pairs of changes that write one path, or a path and one of its prefixes. Each path meets its prefixes as an equi-join; a change writes a path,
+    or below a prefix, once, however many of its rows do."""
+    once = writes.select(change, path).distinct()
+    parts = F.split(path, "/")
+    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
+    prefixes = once.where(F.col(path).isNotNull()).select(F.col(change).alias("other"), prefix.alias("prefix")).distinct()
+    met = once.join(prefixes, (F.col(path) == F.col("prefix")) & (F.col(change) != F.col("other")))
     return met.select(F.least(change, "other").alias("one"), F.greatest(change, "other").alias("two"), F.col("prefix").alias("shared")).distinct()
 
 

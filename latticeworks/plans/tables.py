@@ -101,7 +101,7 @@ _WRITES = "SELECT 'change' || (p_partkey % 12) AS change, CASE WHEN p_partkey %
 def change_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes that write one path, or a path and its prefix."""
     p = table(spark, sf_dir, "part")
-    path = F.when(F.col("p_partkey") % 5 == 0, F.col("p_type")).otherwise(F.concat_ws("/", "p_type", "p_brand"))
+    path = F.when(F.col("p_partkey") % 5 == 0, F.col("p_type")).otherwise(F.concat("p_type", F.lit("/"), "p_brand"))
     return relational.conflicts(p.select(F.concat(F.lit("change"), F.col("p_partkey") % 12).alias("change"), path.alias("path")), "change", "path")
 
 
