@@ -123,8 +123,8 @@ def row_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reselection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selections that resolve to another name than before."""
     p, s = points(spark, sf_dir), sites(spark, sf_dir)
-    was = spatial.nearest(p, s, 256_000, 16_000).select("id", F.col("site").alias("was"))
-    now = spatial.nearest(p, s.where("id % 6 != 0"), 256_000, 16_000).select("id", F.col("site").alias("now"))
+    was = spatial.nearest(p, s, 256_000, 16_000, scale=1000).select("id", F.col("site").alias("was"))
+    now = spatial.nearest(p, s.where("id % 6 != 0"), 256_000, 16_000, scale=1000).select("id", F.col("site").alias("now"))
     return was.join(now, "id").where("was != now")
 
 
