@@ -45,8 +45,8 @@ def _pieces(path: str, end_id: int, capacity: int, finest: int, keep_ids: bool)
         tokenizer, worker, ranks = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in sliced(batches, "text"):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = tokenizer.ids(text) + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.all_ids(batch.column("text").to_pylist())):
+                ids += end
                 start, total = 0, len(ids) // 4
                 for n in cut(total, capacity, finest):
                     own, j = ids[4 * start : 4 * (start + n)], capacity // n

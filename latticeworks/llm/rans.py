@@ -143,13 +143,13 @@ def _raw_blocks(path: str, dtype: str, end_id: int, block_ids: int, vocabulary:
             return row(part, block, first, docs, lens, data)
 
         for batch in sliced(batches, "text"):
-            for doc, text, own_part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part"))):
+            for doc, ids, own_part in zip(batch.column("doc_id").to_pylist(), tokenizer.all_ids(batch.column("text").to_pylist()), batch.column("part").to_pylist()):
                 if own_part != part:
                     if docs:
                         yield made()
                     part, block, first, size = own_part, 0, 0, 0
                     docs, lens, own = [], [], []
-                ids = tokenizer.ids(text) + end
+                ids += end
                 docs.append(doc)
                 own.append(ids)
                 lens.append(len(ids) // width)

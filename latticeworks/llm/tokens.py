@@ -13,6 +13,7 @@ import os
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -67,23 +68,34 @@ class Encoder:
         return out
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in _RARE):
-            return self._encode([text])[0]
-        if self.plain:
-            parts, first = (text.lower() if text.isascii() else text).split(), b""
-        else:
-            if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _ODD) or (not text.isascii() and _WIDE.search(text)):
-                return self._encode([text])[0]
-            head, *parts = text.replace("\n", " \n").split(" ")
-            first = self._encode([head])[0]
-        new = set(parts).difference(self.runs)
-        long = self._learn(new, parts) if new else ()
-        out = first + b"".join(map(self.runs.__getitem__, parts))
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. What isn't in the cache is encoded for all of them at once, so texts come in batches of bounded size."""
+        whole, heads, cut = [], [], []
+        for k, text in enumerate(texts):
+            if any(c in text for c in _RARE):
+                whole.append(k)
+            elif self.plain:
+                cut.append((k, (text.lower() if text.isascii() else text).split()))
+            elif not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _ODD) or (not text.isascii() and _WIDE.search(text)):
+                whole.append(k)
+            else:
+                head, *parts = text.replace("\n", " \n").split(" ")
+                heads.append(head)
+                cut.append((k, parts))
+        out = [b""] * len(texts)
+        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
+            out[k] = ids
+        new = set().union(*(parts for _, parts in cut)).difference(self.runs)
+        long = self._learn(new, (x for _, parts in cut for x in parts)) if new else ()
+        for (k, parts), first in zip(cut, self._encode(heads) if heads else itertools.repeat(b"")):
+            out[k] = first + b"".join(map(self.runs.__getitem__, parts))
         for x in long:
             del self.runs[x]
         return out
 
-    def _learn(self, new: set[str], parts: list[str]) -> list[str]:
+    def _learn(self, new: set[str], parts: Iterable[str]) -> list[str]:
         """Add the runs that aren't in the cache; returns those too long to stay."""
         runs = self.runs
         if len(runs) + 2 * len(new) > MOST_RUNS:
