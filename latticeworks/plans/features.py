@@ -34,16 +34,17 @@ def street_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = vertices(spark, sf_dir).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "x_mm", "y_mm"))).alias("points")).where("size(points) > 1")
 
     def run(batches):
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for path, own in zip(batch["path"], batch["points"]):
-                rings = regions.stroke([(int(p["x_mm"]), int(p["y_mm"])) for p in own], 2000)
-                rows.append((path, len(rings), round(regions.area2(rings))))
-            yield pd.DataFrame(rows, columns=["path", "rings", "area2"])
+            own = batch.column("points")
+            at, flat = own.offsets.to_numpy().astype(np.int64), own.flatten()
+            points = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x_mm", "y_mm")]).astype(np.int64)
+            rings, area2 = regions.stroke_measures(points, at - at[0], 2000)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(rings), pa.array(area2)], names=["path", "rings", "area2"])
 
-    return spread(paths).mapInPandas(run, "path long, rings long, area2 long")
+    return spread(paths).mapInArrow(run, "path long, rings long, area2 long")
 
 
 @query()

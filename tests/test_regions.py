@@ -83,3 +83,24 @@ def test_networks_in_arrays_are_those_in_rationals():
             assert got[:3] == (len({p for e in cut for p in e}), len({tuple(sorted(e)) for e in cut}), len(areas))
             assert abs(got[3] - float(sum(area2([r]) for r in areas))) < 0.01
     assert network(np.empty((0, 4), np.int64)) == (0, 0, 0, 0.0)
+
+
+def test_strokes_in_arrays_are_those_in_rationals(monkeypatch):
+    import numpy as np
+
+    from latticeworks.operators import regions
+
+    one_by_one = []
+    monkeypatch.setattr(regions, "stroke", lambda *a: one_by_one.append(a) or stroke(*a))
+    rng = random.Random(5)
+    square = [(0, 0), (900, 0), (900, 900), (0, 900), (0, 0)]
+    odd = [square, square[:2] * 3, [(5, 5)], [], [(1, 1), (1, 1)], [(0, 0), (900, 0), (400, 0)], [(0, 0), (1 << 30, 5)]]
+    for size, width, step, at_once in ((10, 3, 1, 7), (6, 50, 100, 64), (2000, 300, 1, 1 << 15), (256_000, 2000, 1, 1 << 15)):
+        paths = odd + [[(rng.randrange(size) * step, rng.randrange(size) * step) for _ in range(rng.randrange(8))] for _ in range(60)]
+        one_by_one.clear()
+        points, at = np.array([p for own in paths for p in own], np.int64), np.append(0, np.cumsum([len(own) for own in paths]))
+        rings, area = regions.stroke_measures(points, at, width, together=at_once)
+        found = [stroke(own, width) for own in paths]
+        assert rings.tolist() == [len(f) for f in found] and area.tolist() == [round(area2(f)) for f in found]
+        assert len(one_by_one) < len(paths) // 2 and max(rings) > 1
+    assert [a.tolist() for a in regions.stroke_measures(np.empty((0, 2), np.int64), np.zeros(1, np.int64), 50)] == [[], []]
