@@ -603,6 +603,44 @@ def test_search_skips_blocks_and_counts_null_ids(spark):
     assert [x[:3] for x in got] == [x[:3] for x in top] and all(abs(a[3] - b[3]) < 2e-5 for a, b in zip(got, top))
 
 
+def test_search_leaves_groups_closed_whose_parts_are_under_the_bar():
+    """A group whose words meet a query's only here and there adds up to more than the bar as a whole, and in none of its parts."""
+    import pyarrow as pa
+
+    from latticeworks.llm import search as module
+
+    rng = np.random.default_rng(3)
+    own = [" ".join(f"a{x}" for x in rng.permutation(64)[:48]) for _ in range(640)]
+    own += [" ".join([f"b{x}" for x in rng.permutation(200)[:60]] + [f"a{4 * (k // 64) + x}" for x in range(4)]) for k in range(1024)]
+    near = [0] * 640 + [1] * 1024
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int64()), pa.array(own), pa.array(near, pa.int32())], names=["doc_id", "text", "near"])
+    shards = list(module._index(8192, 1 << 30)(iter([batch])))
+    (asked,) = module._query_terms(iter([batch.slice(0, 20)]))
+    queries = module.Queries.of([(i, bytes(t)) for i, t in zip(asked.column(0).to_pylist(), asked.column(1).to_pylist())])
+    count = np.zeros(len(queries.terms))
+    for df in module._frequencies(queries.terms)(iter(shards)):
+        count[df["term"].to_numpy()] = df["df"].to_numpy()
+    queries.weight = module.idf(count, len(own))
+    mean = shards[0]["words"][0].as_py() / len(own)
+    want = brute_search(list(enumerate(own)), set(range(20)), 5)
+    for q, rank, _, score in want:
+        if rank == 5:
+            queries.bar[queries.ids == q] = score - 1e-6
+    seen = []
+    got = [r for rows in module._searched(queries, mean, 5, False, lambda a, b: seen.append((a, b)))(iter(shards)) for r in rows.to_pylist()]
+    best = sorted((r["query_id"], -round(r["score"], 6), r["doc_id"]) for r in got)
+    assert [(q, d) for q, _, d in best] == [(q, d) for q, _, d, _ in want]
+    assert sum(b for _, b in seen) == 20 * 640 // module.BLOCK  # the other group's blocks aren't even looked at
+
+
+def test_search_takes_no_bar_from_rows_without_an_id(spark):
+    """Rows without an id can't be returned, and so don't keep out those that can."""
+    rows = [(4, "a b c d")] + [(None, "a b c d")] * 12 + [(10 + k, f"a b x{k} y{k}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = search(docs, docs.where("doc_id = 4"), k=3).orderBy("rank").collect()
+    assert [(r["rank"], r.doc_id) for r in got] == [(1, 4), (2, 10), (3, 11)]
+
+
 def test_line_dedup_with_clashing_names(spark):
     rows = [(k, f"line {k}\nSame line", "a", "x", "y", "z", "w") for k in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, __host string, __keys string, __LINES string, __kept string")
